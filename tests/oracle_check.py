@@ -41,6 +41,15 @@ def normal(frame: pd.DataFrame) -> list[tuple]:
     return sorted(rows, key=repr)
 
 
+def same_hashes(a: pd.DataFrame, b: pd.DataFrame) -> bool:
+    def hashes(frame: pd.DataFrame):
+        frame = frame[sorted(frame.columns)]
+        frame = frame.apply(lambda c: c.map(lambda v: v if isinstance(v, str) else repr(v)) if c.dtype == object else c)
+        return sorted(pd.util.hash_pandas_object(frame, index=False).tolist())
+
+    return len(a) == len(b) and hashes(a) == hashes(b)
+
+
 def compare(spark, con, name: str, sf: str) -> str | None:
     """None when equal, else what differs."""
     got = contract.queries()[name](spark, f"{ROOT}/{sf}").toPandas()
@@ -48,7 +57,9 @@ def compare(spark, con, name: str, sf: str) -> str | None:
     if sorted(got.columns) != sorted(expected.columns):
         return f"columns {sorted(got.columns)} and {sorted(expected.columns)}"
     kinds = {c: (got[c].dtype.kind, expected[c].dtype.kind) for c in got.columns}
-    odd = {c: k for c, k in kinds.items() if k[0] != k[1]}
+    odd = {c: k for c, k in kinds.items() if k[0] != k[1] and not (set(k) == {"f", "i"} and got[c].isna().any())}
+    if not odd and len(got) and same_hashes(got, expected):
+        return None
     a, b = normal(got), normal(expected)
     if a != b:
         only_a, only_b = [r for r in a if r not in set(b)][:3], [r for r in b if r not in set(a)][:3]

@@ -15,14 +15,14 @@ from wordprism.session import scratch_path
 cte(
     "named",
     """
-  select doc_id, case doc_id % 4
+  select doc_id, case doc_id // 20 % 4
       when 0 then dataset || '_text.npz' when 1 then dataset || '_' || model || '_token_info.npz'
       when 2 then dataset || '_' || model || '-b' || layer || '_sentence_proj-' || proj || '.npz'
       else dataset || '_' || model || '-b' || layer || '_class_explanation-' || expl || '.npz' end as name,
-    dataset, case when doc_id % 4 > 0 then model end as model, case when doc_id % 4 > 1 then layer end as layer,
-    (['text', 'token', 'sentence', 'class'])[doc_id % 4 + 1] as kind,
-    case doc_id % 4 when 1 then 'info' when 2 then 'proj' when 3 then 'explanation' end as opt,
-    case doc_id % 4 when 2 then proj when 3 then expl end as method
+    dataset, case when doc_id // 20 % 4 > 0 then model end as model, case when doc_id // 20 % 4 > 1 then layer end as layer,
+    (['text', 'token', 'sentence', 'class'])[doc_id // 20 % 4 + 1] as kind,
+    case doc_id // 20 % 4 when 1 then 'info' when 2 then 'proj' when 3 then 'explanation' end as opt,
+    case doc_id // 20 % 4 when 2 then proj when 3 then expl end as method
   from (select doc_id, source || '-1000' as dataset, 'BERT-' || lang as model,
           (case when n_chars % 3 = 0 then 8 when n_chars % 3 = 1 then 12 else 100 end)::int as layer,
           (['PCA', 'UMAP', 'tSNE'])[n_chars % 3 + 1] as proj, (['LIME', 'SHAP'])[n_chars % 2 + 1] as expl
@@ -35,7 +35,7 @@ def named(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
     turn = F.col("n_chars") % 3
     pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), at.cast("int"))
-    kind = pick(("text", "token", "sentence", "class"), F.col("doc_id") % 4)
+    kind = pick(("text", "token", "sentence", "class"), F.floor(F.col("doc_id") / 20) % 4)
     method = F.when(kind == "sentence", pick(("PCA", "UMAP", "tSNE"), turn)).otherwise(pick(("LIME", "SHAP"), F.col("n_chars") % 2))
     layer = F.when(turn == 0, 8).when(turn == 1, 12).otherwise(100)
     name = cat.artifact_name(F.concat("source", F.lit("-1000")), F.concat(F.lit("BERT-"), "lang"), layer, kind, method)

@@ -9,8 +9,8 @@ from wordprism.plans.tables import stored
 from wordprism.queries.base import plane, spans, table, texts
 from wordprism.registry import cte, query
 
-POLYGON = [(-1.0, -1.0), (1.0, -1.2), (0.2, 0.1), (1.1, 1.3), (-0.9, 0.8)]
-LINKED = "de"
+POLYGON = [(-0.25, -0.25), (0.25, -0.3), (0.05, 0.025), (0.275, 0.325), (-0.225, 0.2)]
+LINKED = "fr"
 
 _EDGES = ", ".join(
     f"({ax}::double, {ay}::double, {bx}::double, {by}::double)" for (ax, ay), (bx, by) in zip(POLYGON, POLYGON[1:] + POLYGON[:1])
@@ -19,11 +19,11 @@ cte(
     "inside",
     f"""
   select text_id, any_value(label) as label, any_value(x) as x, any_value(y) as y
-  from plane, (values {_EDGES}) e(ax, ay, bx, by)
+  from plane, (values {_EDGES}) e(px, py, qx, qy)
   group by text_id
-  having bool_or((bx - ax) * (y - ay) = (by - ay) * (x - ax) and x between least(ax, bx) and greatest(ax, bx)
-                 and y between least(ay, by) and greatest(ay, by))
-    or count(*) filter ((ay > y) <> (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax) % 2 = 1""",
+  having bool_or((qx - px) * (y - py) = (qy - py) * (x - px) and x between least(px, qx) and greatest(px, qx)
+                 and y between least(py, qy) and greatest(py, qy))
+    or count(*) filter ((py > y) <> (qy > y) and x < (qx - px) * (y - py) / (qy - py) + px) % 2 = 1""",
 )
 
 
@@ -36,9 +36,9 @@ def sel_lasso(spark, sf_dir):
     return inside(spark, sf_dir)
 
 
-@query("sel_class", "select text_id, label from texts where label in ('de', 'en')")
+@query("sel_class", "select text_id, label from texts where label in ('de', 'es', 'fr')")
 def sel_class(spark, sf_dir):
-    return select.by_class(texts(spark, sf_dir), ("de", "en")).select("text_id", "label")
+    return select.by_class(texts(spark, sf_dir), ("de", "es", "fr")).select("text_id", "label")
 
 
 # the word selected is the most frequent one
@@ -86,11 +86,11 @@ def sel_text(spark, sf_dir):
     return toggled(spark, sf_dir)
 
 
-# Links of a simple attribution: how much more often a token occurs in a class than in the others.
+# Links of a simple attribution: how often a token occurs in a class beyond half of its occurrences.
 cte(
     "share",
     """
-  select label as "class", token, n::double / sum(n) over (partition by token) - 0.5 as score from (
+  select label as "class", token, n * (n::double / sum(n) over (partition by token) - 0.5) as score from (
     select label, token, count(*) as n from ctok where token in (select token from kept) group by 1, 2)""",
 )
 cte(
@@ -110,7 +110,7 @@ def share(spark, sf_dir):
     kept = stats.iqr_filter(stats.token_frequency(rows), stats.LOWEST_FREQUENCY)
     counts = rows.join(kept, "token", "left_semi").groupBy(F.col("label").alias("class"), "token").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("token").agg(F.sum("n").alias("all"))
-    scores = counts.join(totals, "token").select("class", "token", (F.col("n") / F.col("all") - 0.5).alias("score"))
+    scores = counts.join(totals, "token").select("class", "token", (F.col("n") * (F.col("n") / F.col("all") - 0.5)).alias("score"))
     return scores, rows
 
 
@@ -143,7 +143,7 @@ cte(
     "selection",
     f"""
   select 'lasso' as view, text_id, null::int as "start", null::int as "end" from inside
-  union all select 'class', text_id, null, null from texts where label in ('de', 'en')
+  union all select 'class', text_id, null, null from texts where label in ('de', 'es', 'fr')
   union all select 'word', text_id, "start", "end" from word_hits
   union all select 'text', text_id, null, null from toggled
   union all select 'explanation', text_id, "start", "end" from ctok
@@ -156,7 +156,7 @@ def selection(spark, sf_dir):
     found, rows = links(spark, sf_dir)
     return select.union(
         select.as_selection(inside(spark, sf_dir), "lasso"),
-        select.as_selection(select.by_class(texts(spark, sf_dir), ("de", "en")), "class"),
+        select.as_selection(select.by_class(texts(spark, sf_dir), ("de", "es", "fr")), "class"),
         select.as_selection(select.by_word(rows, top_word(rows)), "word"),
         select.as_selection(toggled(spark, sf_dir), "text"),
         select.as_selection(select.linked_by_class(found, rows, LINKED), "explanation"),
@@ -219,12 +219,12 @@ def sel_count(spark, sf_dir):
 @query(
     "sel_mark_points",
     """select p.text_id, p.x, p.y, t.label,
-         (exists (select 1 from chosen) and p.text_id not in (select text_id from chosen)) or t.label not in ('de') as unselected
+         (exists (select 1 from chosen) and p.text_id not in (select text_id from chosen)) or t.label not in ('fr') as unselected
        from plane p join texts t using (text_id)""",
 )
 def sel_mark_points(spark, sf_dir):
     rows = plane(spark, sf_dir).drop("label").join(texts(spark, sf_dir).select("text_id", "label"), "text_id")
-    return select.mark_points(rows, chosen(spark, sf_dir)[0], ("de",)).select("text_id", "x", "y", "label", "unselected")
+    return select.mark_points(rows, chosen(spark, sf_dir)[0], ("fr",)).select("text_id", "x", "y", "label", "unselected")
 
 
 @query(

@@ -1 +1,298 @@
-"""To come."""
+"""Scaling, classification, attributions, reports and the class-to-token links."""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wordprism.operators import catalog as cat
+from wordprism.operators import classify, explain, sample, stats, views
+from wordprism.plans.tables import stored
+from wordprism.queries.base import content_frequency, spans, texts, token_weights
+from wordprism.registry import cte, query
+from wordprism.session import scratch_path
+
+
+class Setting(NamedTuple):
+    """What the explainers start from."""
+
+    tokens: DataFrame  # token
+    cells: DataFrame  # text_id, token, weight
+    split: DataFrame  # text_id, label, ord, part
+    scaler: DataFrame  # token, lo, span
+    values: DataFrame  # text_id, token, value
+
+    @property
+    def train(self) -> DataFrame:
+        return self.split.where("part = 'train'")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.split.where("part = 'test'")
+
+
+def setting(spark, sf_dir) -> Setting:
+    """Kept tokens, their cells, the split and the scaled cells, each written once."""
+    kept = stats.iqr_filter(content_frequency(spark, sf_dir), stats.LOWEST_FREQUENCY)
+    tokens = stored(kept.select("token"), "kept")
+    cells = stored(token_weights(spark, sf_dir).join(tokens, "token", "left_semi"), "cells")
+    split = stored(sample.train_test(texts(spark, sf_dir).select("text_id", "label", "ord")), "split")
+    scaler = stored(classify.fit_minmax(cells, split.where("part = 'train'"), tokens), "scaler")
+    values = stored(classify.apply_minmax(cells, scaler, split), "values")
+    return Setting(tokens, cells, split, scaler, values)
+
+
+def centroid_model(s: Setting) -> classify.LinearModel:
+    model = classify.fit_centroids(s.values, s.train, s.tokens)
+    return classify.LinearModel(stored(model.coef, "coef"), stored(model.classes, "classes"))
+
+
+cte(
+    "scaler",
+    """
+  select token, case when c = n then lo else least(coalesce(lo, 0), 0) end as lo,
+         case when hi > case when c = n then lo else least(coalesce(lo, 0), 0) end
+              then hi - case when c = n then lo else least(coalesce(lo, 0), 0) end else 1 end as span
+  from (select k.token, min(weight) as lo, case when count(weight) = any_value(n) then max(weight) else greatest(coalesce(max(weight), 0), 0) end as hi,
+               count(weight) as c, any_value(n) as n
+        from kept k cross join (select count(*) as n from split where part = 'train')
+        left join (select * from cells where text_id in (select text_id from split where part = 'train')) c on c.token = k.token
+        group by k.token)""",
+)
+cte("scaled", "select text_id, token, (weight - lo) / span as value from cells join scaler using (token)")
+cte(
+    "centroid",
+    """
+  select "class", k.token, coalesce(s, 0) / n as m
+  from kept k cross join (select label as "class", count(*) as n from split where part = 'train' group by 1) z
+  left join (select label, token, sum(value) as s from scaled join split using (text_id) where part = 'train' group by 1, 2) u
+    on u.label = z."class" and u.token = k.token""",
+)
+cte("coef", 'select "class", token, 2 * m as weight from centroid')
+cte("bias", 'select "class", -sum(m * m) as bias from centroid group by 1')
+cte(
+    "margin",
+    """
+  select t.text_id, b."class", bias + coalesce(s, 0) as margin
+  from (select text_id from split where part = 'test') t cross join bias b
+  left join (select text_id, "class", sum(value * weight) as s from scaled join coef using (token)
+             where text_id in (select text_id from split where part = 'test') group by 1, 2) u
+    on u.text_id = t.text_id and u."class" = b."class\"""",
+)
+cte("prob", 'select text_id, "class", p / sum(p) over (partition by text_id) as prob from ('
+    'select text_id, "class", 1 / (1 + exp(-margin)) as p from margin)')
+cte(
+    "predicted",
+    """
+  select text_id, label, "class" as predicted, prob as predicted_prob from prob join split using (text_id)
+  qualify row_number() over (partition by text_id order by prob desc, "class") = 1""",
+)
+cte(
+    "phi",
+    """
+  select p.text_id, c.token, c.weight * (coalesce(v.value, 0) - g.m) as phi
+  from predicted p join coef c on c."class" = p.predicted
+  join (select token, sum(value) / (select count(*) from predicted) as m from scaled
+        where text_id in (select text_id from predicted) group by 1) g on g.token = c.token
+  left join scaled v on v.text_id = p.text_id and v.token = c.token""",
+)
+cte(
+    "attribution",
+    """
+  select c."class", c.token, coalesce(score, 0) as score from coef c
+  left join (select predicted as "class", token, sum(abs(phi)) / any_value(n) as score
+             from phi join predicted using (text_id) join (select predicted, count(*) as n from predicted group by 1) using (predicted)
+             group by 1, 2) s using ("class", token)""",
+)
+
+
+@query("ml_label_encode", "select label, row_number() over (order by label) - 1 as code from (select distinct label from texts)")
+def ml_label_encode(spark, sf_dir):
+    return classify.encode_labels(texts(spark, sf_dir))
+
+
+@query("ml_minmax", "select text_id, token, round(value, 6) as value from scaled")
+def ml_minmax(spark, sf_dir):
+    return setting(spark, sf_dir).values.select("text_id", "token", F.round("value", 6).alias("value"))
+
+
+@query("ml_predict", "select text_id, label, predicted, round(predicted_prob, 6) as predicted_prob from predicted")
+def ml_predict(spark, sf_dir):
+    s = setting(spark, sf_dir)
+    rows = classify.predict(s.values, s.test, centroid_model(s))
+    return rows.withColumn("predicted_prob", F.round("predicted_prob", 6))
+
+
+@query("ml_linear_classifier")
+def ml_linear_classifier(spark, sf_dir):
+    """The coefficient table of the SVM per class."""
+    return svm_model(setting(spark, sf_dir)).coef
+
+
+def svm_model(s: Setting) -> classify.LinearModel:
+    numbered = stored(numbered_tokens(s.tokens), "vocab")
+    return classify.fit_svm(s.values, s.train, numbered)
+
+
+def numbered_tokens(tokens: DataFrame) -> DataFrame:
+    from wordprism.plans.ranking import with_global_rank
+
+    return with_global_rank(tokens, ["token"], "idx")
+
+
+_REPORT = """
+  select c."class", coalesce(hits::double / nullif(called, 0), 0) as precision, coalesce(hits::double / nullif(support, 0), 0) as recall,
+         coalesce(2.0::double * hits / nullif(called + support, 0), 0) as f1, support, accuracy
+  from (select b."class", count(*) filter (predicted = b."class") as called, count(*) filter (label = b."class") as support,
+               count(*) filter (label = b."class" and predicted = b."class") as hits
+        from predicted cross join bias b group by 1) c,
+       (select count(*) filter (label = predicted)::double / count(*) as accuracy from predicted)"""
+_MEASURES = ("precision", "recall", "f1", "accuracy")
+
+
+def _rounded(df, names):
+    return df.select(*[F.round(c, 6).alias(c) if c in names else c for c in df.columns])
+
+
+@query(
+    "agg_class_report",
+    'select "class", ' + ", ".join(f"round({m}, 6) as {m}" for m in _MEASURES) + f", support from ({_REPORT})",
+)
+def agg_class_report(spark, sf_dir):
+    s = setting(spark, sf_dir)
+    model = centroid_model(s)
+    return _rounded(stats.class_report(classify.predict(s.values, s.test, model), model.classes), _MEASURES)
+
+
+@query(
+    "agg_report_summary",
+    f"""select round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(f1), 6) as f1,
+               round(max(accuracy), 6) as accuracy from ({_REPORT})""",
+)
+def agg_report_summary(spark, sf_dir):
+    s = setting(spark, sf_dir)
+    model = centroid_model(s)
+    report = stats.class_report(classify.predict(s.values, s.test, model), model.classes)
+    return _rounded(stats.report_summary(report), _MEASURES)
+
+
+def explained(spark, sf_dir):
+    s = setting(spark, sf_dir)
+    model = centroid_model(s)
+    predictions = stored(classify.predict(s.values, s.test, model), "predictions")
+    phi = stored(explain.shap_linear(s.values, s.test, predictions, model), "phi")
+    return s, model, predictions, phi
+
+
+@query("ml_shap_linear", "select text_id, token, round(phi, 6) + 0.0 as phi from phi")
+def ml_shap_linear(spark, sf_dir):
+    return explained(spark, sf_dir)[3].select("text_id", "token", (F.round("phi", 6) + 0.0).alias("phi"))
+
+
+@query("agg_class_attribution", 'select "class", token, round(score, 6) as score from attribution')
+def agg_class_attribution(spark, sf_dir):
+    _, model, predictions, phi = explained(spark, sf_dir)
+    return _rounded(explain.class_attribution(phi, predictions, model), ("score",))
+
+
+_UNIT = "((('0x' || substr(md5('1537:' || text_id || ':' || token || ':' || draw || ':{0}'), 1, 12))::bigint)::double + 0.5) / 281474976710656.0::double"
+cte(
+    "infidel",
+    f"""
+  with noisy as (
+    select text_id, token, draw, 0.01 * sqrt(-2.0 * ln({_UNIT.format('u')})) * cos(2.0 * pi() * {_UNIT.format('v')}) as i
+    from (select text_id, token, unnest(range(10)) as draw
+          from predicted p join coef c on c."class" = p.predicted)),
+  shift as (
+    select n.text_id, draw, c."class", sum(i * weight) as d, sum(i * coalesce(phi, 0)) as ip
+    from noisy n join coef c using (token) left join phi f on f.text_id = n.text_id and f.token = n.token group by 1, 2, 3),
+  moved as (select text_id, draw, "class", ip, 1 / (1 + exp(-(margin - d))) as p from margin join shift using (text_id, "class"))
+  select text_id, avg((ip - (predicted_prob - after)) ** 2) as infidelity
+  from (select text_id, draw, any_value(ip) as ip, max(p) / sum(p) as after from moved group by 1, 2)
+  join predicted using (text_id) group by 1""",
+)
+
+
+@query("agg_infidelity", "select text_id, round(infidelity, 6) as infidelity from infidel")
+def agg_infidelity(spark, sf_dir):
+    s, model, predictions, phi = explained(spark, sf_dir)
+    return _rounded(explain.infidelity(s.values, predictions, phi, model), ("infidelity",))
+
+
+@query(
+    "agg_infidelity_summary",
+    "select round(avg(infidelity), 6) as mean, round(stddev_samp(infidelity), 6) as std from infidel",
+)
+def agg_infidelity_summary(spark, sf_dir):
+    s, model, predictions, phi = explained(spark, sf_dir)
+    rows = explain.infidelity(s.values, predictions, phi, model)
+    return _rounded(stats.infidelity_summary(rows), ("mean", "std"))
+
+
+cte(
+    "shown",
+    """
+  select "class", token, score as value from attribution
+  where score > 0 and "class" in (select "class" from attribution group by 1 having min(score) <> max(score))
+  qualify row_number() over (partition by "class" order by round(score, 9) desc, token) <= 5""",
+)
+
+
+def sankey(spark, sf_dir):
+    _, model, predictions, phi = explained(spark, sf_dir)
+    scores = explain.class_attribution(phi, predictions, model).withColumn("score", F.round("score", 9))
+    return views.sankey_links(scores), model
+
+
+@query("q_sankey", 'select "class", token, round(value, 6) as value from shown')
+def q_sankey(spark, sf_dir):
+    return _rounded(sankey(spark, sf_dir)[0], ("value",))
+
+
+@query(
+    "q_sankey_fixed",
+    """
+  with total as (select "class", sum(value) as total from selected_links group by 1)
+  select 'class' as type, b."class" as node, case when total is null then round((select min(total) from total) / 2, 6) end as fixed_value
+  from (select distinct label as "class" from texts) b left join total using ("class")
+  union all select distinct 'token', token, null from selected_links""",
+)
+def q_sankey_fixed(spark, sf_dir):
+    """Nodes for the links of a lasso selection; classes without links get a size."""
+    from wordprism.operators import select
+    from wordprism.queries.base import plane
+    from wordprism.queries.select import POLYGON, share
+
+    scores, rows = share(spark, sf_dir)
+    ids = select.lasso(plane(spark, sf_dir), POLYGON)
+    selected = select.selected_labels(texts(spark, sf_dir), ids)
+    found = stored(views.sankey_links(scores, rows, selected), "links")
+    classes = texts(spark, sf_dir).select(F.col("label").alias("class"))
+    return _rounded(views.sankey_nodes(found, classes), ("fixed_value",))
+
+
+@query(
+    "jn_token_explanation",
+    'select text_id, label, pos, token, "start", "end" from ctok where token in (select token from attribution)',
+)
+def jn_token_explanation(spark, sf_dir):
+    _, model, predictions, phi = explained(spark, sf_dir)
+    scores = explain.class_attribution(phi, predictions, model)
+    return cat.tokens_of_explanation(scores, spans(spark, sf_dir)).select("text_id", "label", "pos", "token", "start", "end")
+
+
+@query("snk_explanation")
+def snk_explanation(spark, sf_dir):
+    """Attribution, class report and row report, written and read back by method."""
+    s, model, predictions, phi = explained(spark, sf_dir)
+    method = F.lit("SHAP").alias("method")
+    root = scratch_path(spark, "artifacts")
+    cat.save_explanation(
+        explain.class_attribution(phi, predictions, model).select(method, "class", "token", "score"),
+        stats.class_report(predictions, model.classes).select(method, "class", "precision", "recall", "f1", "accuracy"),
+        explain.infidelity(s.values, predictions, phi, model).select(method, "text_id", "infidelity"),
+        root,
+    )
+    return cat.scan(spark, root, "explanation", method="SHAP")

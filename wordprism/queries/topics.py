@@ -1 +1,122 @@
-"""To come."""
+"""Bags of words, TF-IDF and topics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wordprism.operators import tokens as tk
+from wordprism.operators import topics
+from wordprism.plans.tables import stored
+from wordprism.queries.base import texts
+from wordprism.registry import cte, query
+from wordprism.sources.stopwords import stop_words
+
+cte(
+    "terms",
+    """
+  select term, row_number() over (order by term) - 1 as idx, df from (
+    select word as term, count(*) as total, count(distinct text_id) as df from prepared where length(word) >= 2 group by 1
+    having count(distinct text_id) between 0.05 * (select count(*) from texts) and 0.95 * (select count(*) from texts)
+    order by total desc, term limit 1000)""",
+)
+cte("counted", "select text_id, term, idx, count(*) as n from prepared join terms on word = term group by 1, 2, 3")
+cte(
+    "tfidf",
+    """
+  select text_id, term, idx, w / sqrt(sum(w * w) over (partition by text_id)) as weight from (
+    select text_id, counted.term, counted.idx, n * (ln((1 + (select count(*) from texts))::double / (1 + df)) + 1) as w
+    from counted join terms using (term))""",
+)
+
+
+def prepared(spark, sf_dir):
+    """Texts, chosen terms and counts."""
+    rows = texts(spark, sf_dir)
+    words = stored(tk.prepared_words(rows, stop_words(spark)), "words")
+    terms = stored(topics.count_terms(words, rows), "terms")
+    return rows, terms, topics.count_matrix(words, terms)
+
+
+def weighted(spark, sf_dir):
+    rows, terms, counts = prepared(spark, sf_dir)
+    return rows, terms, topics.tfidf_matrix(counts, terms, rows)
+
+
+@query("ml_count_vec", "select text_id, term, idx, n from counted")
+def ml_count_vec(spark, sf_dir):
+    return prepared(spark, sf_dir)[2]
+
+
+@query("ml_tfidf", "select text_id, term, idx, round(weight, 6) as weight from tfidf")
+def ml_tfidf(spark, sf_dir):
+    return weighted(spark, sf_dir)[2].withColumn("weight", F.round("weight", 6))
+
+
+@query("ml_lda")
+def ml_lda(spark, sf_dir):
+    rows, terms, counts = prepared(spark, sf_dir)
+    vectors = topics.term_vectors(counts, rows, terms.count(), "n")
+    components, mixed = topics.fit_lda(vectors, terms)
+    return topics.assign_topics(mixed, topics.topic_words(components))
+
+
+@query("ml_nmf")
+def ml_nmf(spark, sf_dir):
+    _, terms, matrix = weighted(spark, sf_dir)
+    components, mixed, _ = topics.fit_nmf(matrix, terms)
+    return topics.assign_topics(mixed, topics.topic_words(components))
+
+
+@query("ml_svd")
+def ml_svd(spark, sf_dir):
+    rows, terms, matrix = weighted(spark, sf_dir)
+    components, scores = topics.fit_svd(matrix, rows, terms)
+    return topics.assign_topics(scores, topics.topic_words(components))
+
+
+# Languages stand in for fitted topics: their weights are sums of TF-IDF cells.
+cte(
+    "lang_topic",
+    """
+  select dense_rank() over (order by label)::int - 1 as topic, term, sum(weight) as weight
+  from tfidf join texts using (text_id) group by label, term""",
+)
+cte(
+    "topic_name",
+    """
+  select topic, string_agg(term, '-' order by rn) as name from (
+    select topic, term, row_number() over (partition by topic order by round(weight, 9) desc, term) as rn from lang_topic)
+  where rn <= 3 group by topic""",
+)
+
+
+def language_topics(spark, sf_dir):
+    from wordprism.operators.classify import encode_labels
+
+    rows, _, matrix = weighted(spark, sf_dir)
+    matrix = stored(matrix, "tfidf")
+    codes = encode_labels(rows).select("label", F.col("code").cast("int").alias("topic"))
+    coded = rows.select("text_id", "label").join(codes, "label")
+    weights = matrix.join(coded, "text_id").groupBy("topic", "term").agg(F.round(F.sum("weight"), 9).alias("weight"))
+    return stored(weights, "topics"), matrix
+
+
+@query("ml_topic_words", "select topic, name from topic_name")
+def ml_topic_words(spark, sf_dir):
+    return topics.topic_words(language_topics(spark, sf_dir)[0])
+
+
+@query(
+    "ml_topic_assign",
+    """
+    select text_id, name as topic from (
+      select text_id, t.topic from tfidf f join lang_topic t using (term) group by text_id, t.topic
+      qualify row_number() over (partition by text_id order by round(sum(f.weight * round(t.weight, 9)), 9) desc, t.topic) = 1)
+    join topic_name using (topic)""",
+)
+def ml_topic_assign(spark, sf_dir):
+    components, matrix = language_topics(spark, sf_dir)
+    mixed = matrix.join(components.withColumnRenamed("weight", "_c"), "term").groupBy("text_id", "topic").agg(
+        F.round(F.sum(F.col("weight") * F.col("_c")), 9).alias("weight")
+    )
+    return topics.assign_topics(mixed, topics.topic_words(components))

@@ -11,9 +11,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,7 +103,7 @@ def feature_vectors(values: DataFrame, texts: DataFrame, vocab: DataFrame) -> Da
     )
 
 
-def fit_svm(values: DataFrame, train: DataFrame, vocab: DataFrame, c: float = 1.0, steps: int = 100) -> LinearModel:
+def fit_svm(values: DataFrame, train: DataFrame, vocab: DataFrame, c: float = 1.0, steps: int = 30) -> LinearModel:
     """One linear SVM per class against the rest, and a sigmoid per class.
 
     The coefficients of each class reach the driver once as a vector and leave it
@@ -115,17 +115,21 @@ def fit_svm(values: DataFrame, train: DataFrame, vocab: DataFrame, c: float = 1.
     ready = index.transform(rows).select("y", "features").persist()
     try:
         n = ready.count()
-        svm = LinearSVC(maxIter=steps, regParam=1.0 / (c * n), standardization=False)
-        model = OneVsRest(classifier=svm, featuresCol="features", labelCol="y").fit(ready)
-        coef, classes = [], []
-        for k, (name, part) in enumerate(zip(index.labels, model.models)):
-            scored = part.transform(ready).select(
-                array_to_vector(F.array(F.get(vector_to_array("rawPrediction"), F.lit(1)))).alias("features"),
-                (F.col("y") == k).cast("double").alias("label"),
-            )
-            sigmoid = LogisticRegression(maxIter=50).fit(scored)
-            coef.append(np.asarray(part.coefficients.toArray()))
-            classes.append((name, float(part.intercept), -float(sigmoid.coefficients[0]), -float(sigmoid.intercept)))
+        svm = LinearSVC(maxIter=steps, tol=1e-4, regParam=1.0 / (c * n), standardization=False)
+        model = OneVsRest(
+            classifier=svm, featuresCol="features", labelCol="y", parallelism=min(len(index.labels), 8)
+        ).fit(ready)
+        coef = [np.asarray(part.coefficients.toArray()) for part in model.models]
+        bias = [float(part.intercept) for part in model.models]
+        scored = ready
+        for k, part in enumerate(model.models):
+            scored = part.transform(scored).withColumn(f"m{k}", F.get(vector_to_array("rawPrediction"), F.lit(1)))
+            scored = scored.drop("rawPrediction", "prediction")
+        pairs = F.array(
+            *[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m"), (F.col("y") == k).alias("hit")) for k in range(len(coef))]
+        )
+        curves = fit_sigmoids(scored.select(F.inline(pairs)), len(coef))
+        classes = [(name, bias[k], *curves[k]) for k, name in enumerate(index.labels)]
     finally:
         ready.unpersist()
     wide = pd.DataFrame({"idx": np.arange(len(coef[0])), **{f"w{k}": w for k, w in enumerate(coef)}})
@@ -135,6 +139,43 @@ def fit_svm(values: DataFrame, train: DataFrame, vocab: DataFrame, c: float = 1.
     return LinearModel(long, spark.createDataFrame(classes, "class string, bias double, a double, b double"))
 
 
+def fit_sigmoids(margin_rows: DataFrame, n_classes: int, steps: int = 12) -> list[tuple[float, float]]:
+    """``(a, b)`` per class with P = 1 / (1 + exp(a margin + b)), by Newton steps.
+
+    ``margin_rows`` has ``k, m, hit``. Targets are smoothed by the class sizes.
+    Each step is one aggregation that returns five sums per class.
+    """
+    rows = margin_rows.persist()
+    try:
+        sizes = {r["k"]: (r["p"], r["n"] - r["p"]) for r in rows.groupBy("k").agg(F.count_if("hit").alias("p"), F.count(F.lit(1)).alias("n")).collect()}
+        high = [(sizes[k][0] + 1.0) / (sizes[k][0] + 2.0) for k in range(n_classes)]
+        low = [1.0 / (sizes[k][1] + 2.0) for k in range(n_classes)]
+        a = np.zeros(n_classes)
+        b = np.array([np.log((sizes[k][1] + 1.0) / (sizes[k][0] + 1.0)) for k in range(n_classes)])
+        pick = lambda v: F.get(F.array(*[F.lit(float(x)) for x in v]), F.col("k"))
+        for _ in range(steps):
+            p = 1.0 / (1.0 + F.exp(pick(a) * F.col("m") + pick(b)))
+            t = F.when(F.col("hit"), pick(high)).otherwise(pick(low))
+            m, gap, curve = F.col("m"), t - F.col("p"), F.col("p") * (1 - F.col("p"))
+            sums = rows.withColumn("p", p).groupBy("k").agg(
+                F.sum(m * gap).alias("ga"), F.sum(gap).alias("gb"),
+                F.sum(m * m * curve).alias("haa"), F.sum(m * curve).alias("hab"), F.sum(curve).alias("hbb"),
+            ).collect()
+            moved = 0.0
+            for r in sums:
+                h = np.array([[r["haa"], r["hab"]], [r["hab"], r["hbb"]]]) + 1e-9 * np.eye(2)
+                step = np.linalg.solve(h, np.array([r["ga"], r["gb"]]))
+                step = step / max(1.0, np.abs(step).max() / 5.0)
+                a[r["k"]] -= step[0]
+                b[r["k"]] -= step[1]
+                moved = max(moved, float(np.abs(step).max()))
+            if moved < 1e-6:
+                break
+    finally:
+        rows.unpersist()
+    return [(float(x), float(y)) for x, y in zip(a, b)]
+
+
 def margins(values: DataFrame, texts: DataFrame, model: LinearModel) -> DataFrame:
     """``text_id, class, margin, a, b`` for every text and class."""
     sums = (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordprism.operators import catalog as cat
-from wordprism.operators import classify, explain, sample, stats, views
+from wordprism.operators import classify, explain, sample, stats, surrogates, views
 from wordprism.plans.tables import stored
 from wordprism.queries.base import content_frequency, spans, texts, token_weights
 from wordprism.registry import cte, query
@@ -191,6 +191,18 @@ def ml_shap_linear(spark, sf_dir):
     return explained(spark, sf_dir)[3].select("text_id", "token", (F.round("phi", 6) + 0.0).alias("phi"))
 
 
+@query("ml_lime")
+def ml_lime(spark, sf_dir):
+    s, model, predictions, _ = explained(spark, sf_dir)
+    return surrogates.lime(s.values, s.train, predictions, model)
+
+
+@query("ml_shap")
+def ml_shap(spark, sf_dir):
+    s, model, predictions, _ = explained(spark, sf_dir)
+    return surrogates.kernel_shap(s.values, predictions, model)
+
+
 @query("agg_class_attribution", 'select "class", token, round(score, 6) as score from attribution')
 def agg_class_attribution(spark, sf_dir):
     _, model, predictions, phi = explained(spark, sf_dir)

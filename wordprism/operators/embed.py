@@ -8,51 +8,64 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordprism.operators.tokens import TOKEN, token_spans
+from wordprism.operators.tokens import TOKEN, token_spans, tokens_in_context
 
 DIMENSIONS = 8
 _DIGITS = 4
 _WIDE = 128
 
 
-def hash_vector(token: Column | str, dimensions: int = DIMENSIONS) -> Column:
-    """Fixed pseudo-random vector of a token from md5 digits, in [-0.5, 0.5]."""
-    token = F.col(token) if isinstance(token, str) else token
-    values = []
+def _layout(dimensions: int) -> list[tuple[int, int, int]]:
+    """How components are read: (md5 block, first component in it, components).
+
+    Twelve digits, i.e. three components, fit into one long.
+    """
+    parts = []
     for block in range(-(-dimensions // DIMENSIONS)):
-        text = F.md5(token) if block == 0 else F.md5(F.concat(F.lit(f"{block}:"), token))
-        for k in range(min(DIMENSIONS, dimensions - block * DIMENSIONS)):
-            digits = F.conv(F.substring(text, 1 + _DIGITS * k, _DIGITS), 16, 10)
-            values.append(digits.cast("double") / 65535 - 0.5)
-    return F.array(*values)
-
-
-def _mean_of_known(vectors: list[Column], dimensions: int) -> Column:
-    known = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in vectors), F.lit(0))
-    zero = F.lit(0.0)
-    return F.array(
-        *[sum((F.coalesce(F.get(v, F.lit(k)), zero) for v in vectors), zero) / known for k in range(dimensions)]
-    )
+        size = min(DIMENSIONS, dimensions - block * DIMENSIONS)
+        parts.extend((block, first, min(3, size - first)) for first in range(0, size, 3))
+    return parts
+
 
+def _number(token: str, block: int, first: int, count: int) -> Column:
+    """Some md5 digits of a token as a whole number; 0 for no token."""
+    text = F.md5(token) if block == 0 else F.md5(F.concat(F.lit(f"{block}:"), token))
+    digits = F.conv(F.substring(text, 1 + _DIGITS * first, _DIGITS * count), 16, 10)
+    return F.coalesce(digits.cast("long"), F.lit(0).cast("long"))
 
-def encode_hashed(texts: DataFrame, dimensions: int = DIMENSIONS, layer: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+
+def encode_hashed(
+    texts: DataFrame, dimensions: int = DIMENSIONS, layer: int = 0, keep: tuple[str, ...] = (), spans: bool = True
+) -> DataFrame:
     """Default encoder: token hash vectors averaged with their neighbours.
 
-    Deterministic, in context and needs no model; a text is encoded within its
-    own row, without a shuffle.
+    The vector of a token comes from md5 digits. Deterministic, in context and
+    without a model; a text is encoded within its own row, without a shuffle.
+    Leave out ``spans`` where only vectors are needed.
     """
-    rows = token_spans(texts, TOKEN, keep, neighbours=True)
-    # a neighbour's vector is null exactly when there is no neighbour
-    vectors = rows.select(
-        "text_id", *keep, "pos", "token", "start", "end",
-        F.when(F.col("before").isNotNull(), hash_vector("before", dimensions)).alias("_b"),
-        hash_vector("token", dimensions).alias("_v"),
-        F.when(F.col("after").isNotNull(), hash_vector("after", dimensions)).alias("_a"),
-    )
-    mean = _mean_of_known([F.col("_v"), F.col("_b"), F.col("_a")], dimensions)
-    return vectors.select(
-        "text_id", *keep, F.lit(layer).alias("layer"), "pos", "token", "start", "end", mean.alias("vec")
+    if spans:
+        rows = token_spans(texts, TOKEN, keep, neighbours=True)
+    else:
+        rows = tokens_in_context(texts, TOKEN, keep)
+    columns = [c for c in rows.columns if c not in ("before", "after")]
+    sides, parts = ("token", "before", "after"), _layout(dimensions)
+    # numbers become columns of their own, so each is computed once per row
+    digested = rows.select(
+        *columns,
+        *[_number(s, *part).alias(f"_{s}{i}") for s in sides for i, part in enumerate(parts)],
+        (1 + F.col("before").isNotNull().cast("int") + F.col("after").isNotNull().cast("int")).alias("_n"),
     )
+    values = []
+    for i, (_, _, count) in enumerate(parts):
+        for at in range(count):
+            shift = 4 * _DIGITS * (count - 1 - at)
+            total = sum((F.shiftright(f"_{s}{i}", shift).bitwiseAND(0xFFFF) for s in sides[1:]),
+                        F.shiftright(f"_token{i}", shift).bitwiseAND(0xFFFF))
+            # the mean of n components x / 65535 - 0.5
+            values.append(total.cast("double") / (F.col("_n") * 65535.0) - 0.5)
+    lead = ["text_id", *keep]
+    rest = [c for c in columns if c not in lead]
+    return digested.select(*lead, F.lit(layer).alias("layer"), *rest, F.array(*values).alias("vec"))
 
 
 Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -129,7 +142,7 @@ def token_weights(token_vec: DataFrame, how: str = "norm", dimensions: int | Non
         average = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.size("vec")
     else:
         parts = [F.col("vec")[k].cast("double") for k in range(dimensions)]
-        length = F.sqrt(sum((x * x for x in parts), F.lit(0.0)))
+        length = F.sqrt(sum((F.pow(x, F.lit(2.0)) for x in parts), F.lit(0.0)))
         average = sum(parts, F.lit(0.0)) / dimensions
     value = {"norm": length, "mean": average}[how]
     return token_vec.groupBy("text_id", "layer", "token").agg(F.avg(value).alias("weight"))

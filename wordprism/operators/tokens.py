@@ -85,6 +85,19 @@ def tokens(texts: DataFrame, pattern: str = TOKEN, keep: tuple[str, ...] = ()) -
     return texts.select("text_id", *keep, F.posexplode(found).alias("pos", "token"))
 
 
+def tokens_in_context(texts: DataFrame, pattern: str = TOKEN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``text_id, pos, token, before, after`` without spans, within the row of a text."""
+    found = texts.select("text_id", *keep, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("token"))
+    nothing = F.array(F.lit(None).cast("string"))
+    shifted = found.where(F.size("token") > 0).select(
+        "text_id", *keep, "token",
+        F.concat(nothing, F.slice("token", F.lit(1), F.size("token") - 1)).alias("before"),
+        F.concat(F.slice("token", F.lit(2), F.size("token")), nothing).alias("after"),
+    )
+    rows = shifted.select("text_id", *keep, F.posexplode(F.arrays_zip("token", "before", "after")).alias("pos", "_z"))
+    return rows.select("text_id", *keep, "pos", "_z.token", "_z.before", "_z.after")
+
+
 def without_stop_words(rows: DataFrame, stop_words: DataFrame, token: str = "token") -> DataFrame:
     """Rows whose token is a content word (row-level filter, keeps repetitions)."""
     rows = rows.where(tx.is_content(token))

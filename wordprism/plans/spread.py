@@ -14,7 +14,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
-    return df.repartition(cores)
+    return df.repartition(2 * cores)
 
 
 def deal(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:

@@ -63,7 +63,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_weights(spark: SparkSession, sf_dir: str, how: str = "norm") -> DataFrame:
-    vectors = embed.encode_hashed(texts(spark, sf_dir))
+    vectors = embed.encode_hashed(texts(spark, sf_dir), spans=False)
     content = tk.without_stop_words(vectors, stop_words(spark))
     return embed.token_weights(content, how, embed.DIMENSIONS)
 

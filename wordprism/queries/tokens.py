@@ -147,7 +147,7 @@ cte(
 )
 def emb_mean_pool(spark, sf_dir):
     rows = texts(spark, sf_dir)
-    pooled = embed.mean_pool(embed.encode_hashed(rows), embed.DIMENSIONS, rows)
+    pooled = embed.mean_pool(embed.encode_hashed(rows, spans=False), embed.DIMENSIONS, rows)
     return pooled.select("text_id", *[(F.round(F.col("vec")[k], 6) + 0.0).alias(f"v{k}") for k in range(embed.DIMENSIONS)])
 
 

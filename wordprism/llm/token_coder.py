@@ -20,11 +20,11 @@ import zlib
 
 import numpy as np
 
-BLOCK = 8192  # ids of a block
+BLOCK = 4096  # ids of a block
 _TOP = np.uint64(32)
 _ONE = np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
-_BITS2, _BITS1 = 13, 12  # sizes of the guess tables
+_BITS2, _BITS1 = 12, 11  # sizes of the guess tables
 _SLOTS, _SLOT_BITS = 1 << 14, 14  # resolution of order 0
 _FIRST = 128  # ids before order 0 has counts
 _MIN, _MAX, _RATE = 64, 65408, 4  # bounds and rate of the mixing probabilities

@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordprism.llm import words as W
 from wordprism.llm.components import components
 from wordprism.plans.tables import stored
 
-BUCKETS = 1 << 20  # counters of the frequency sketch: 4 MB, whatever the corpus
+BUCKETS = 1 << 22  # counters of the frequency sketch: 16 MB, whatever the corpus
 _PIECE = 1 << 14  # counters that travel in one row
 PARTS = 32  # ranges of hash values whose sizes bound an overlap (the suffix filter)
 
@@ -62,7 +62,7 @@ def _sign(shingle: int):
                 ], schema=fields)
         if sketch.any():
             pieces = [(i, sketch[i * _PIECE:(i + 1) * _PIECE]) for i in range(BUCKETS // _PIECE)]
-            pieces = [(i, p.tobytes()) for i, p in pieces if p.any()]
+            pieces = [(i, (p.astype(np.uint8) if p.max() < 256 else p).tobytes()) for i, p in pieces if p.any()]
             none = pa.nulls(len(pieces), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [none, none, none, none, pa.array([i for i, _ in pieces], pa.int32()), pa.array([p for _, p in pieces], pa.binary())],
@@ -78,7 +78,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
             held = sums.setdefault(piece, np.zeros(_PIECE, dtype=np.uint64))
-            held += np.frombuffer(counts.as_buffer(), dtype=np.uint32)
+            small = len(counts.as_buffer()) == _PIECE
+            held += np.frombuffer(counts.as_buffer(), dtype=np.uint8 if small else np.uint32)
     if sums:
         rows = [np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes() for v in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], names=["piece", "counts"])
@@ -88,7 +89,7 @@ def frequency_sketch(signed: DataFrame) -> np.ndarray:
     """How many documents hold a shingle of each bucket, over all documents; always BUCKETS numbers."""
     pieces = signed.where(F.col("piece").isNotNull()).select("piece", "counts")
     total = np.zeros(BUCKETS, dtype=np.uint32)
-    for piece, counts in pieces.repartition(BUCKETS // _PIECE, "piece").mapInArrow(_add, "piece int, counts binary").collect():
+    for piece, counts in pieces.repartition(16, "piece").mapInArrow(_add, "piece int, counts binary").collect():
         total[piece * _PIECE:(piece + 1) * _PIECE] = np.frombuffer(counts, dtype=np.uint32)
     return total
 
@@ -132,6 +133,10 @@ def _full_sets(shingle: int):
     return run
 
 
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "id long, items array<long>")
+
+
 def _overlap(percent: int, na: Column, nb: Column) -> Column:
     """Least number of common shingles of two sets that link."""
     return F.ceil(percent * (na + nb) / F.lit(100.0 + percent) - 1e-9)
@@ -197,18 +202,20 @@ def similar_groups(docs: DataFrame, shingle: int = 3, percent: int = 90) -> Data
     )
     kept = classes.where(F.col("id").isNotNull()).withColumnRenamed("id", "doc_id")
     heads = stored(
-        prefix_rows.join(kept, ["doc_id", "fp1", "fp2", "n"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"]), "prefixes"
+        prefix_rows.join(kept, ["doc_id", "fp1", "fp2", "n"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2", "n"]), "prefixes"
     ).withColumnRenamed("doc_id", "id")
     sizes = heads.select("id", "n", "parts")
     places = heads.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    shared = places.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    met = stored(places.join(shared, "shingle"), "meetings")
+    everyone = Window.partitionBy("shingle")
+    met = places.withColumn("low", F.min("id").over(everyone)).withColumn("high", F.max("id").over(everyone))
+    met = stored(met.where("low < high"), "meetings")
     ends = met.where("id = low or id = high").select("shingle", F.col("id").alias("end"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
     star = met.join(ends, "shingle").where((F.col("id") != F.col("end")) & _near(percent, "n", "n2", "pos", "pos2"))
     star = star.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b"))
-    wanted = met.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "id long, items array<long>"), "sets")
-    links = stored(_verified(_filtered(star, sizes, percent), sets, percent), "links")
+    star = stored(_filtered(star, sizes, percent), "star")
+    ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(_sets_of(docs, stored(ids(star), "wanted"), shingle), "sets")
+    links = stored(_verified(star, sets, percent), "links")
     first = stored(components(links), "components")
     placed = met.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component", "low", "high")
     open_shingles = placed.groupBy("shingle").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("shingle")
@@ -217,7 +224,10 @@ def similar_groups(docs: DataFrame, shingle: int = 3, percent: int = 90) -> Data
     mine = rest.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
     on = (mine["shingle"] == other["shingle"]) & (mine["a"] < other["b"]) & (mine["ca"] != other["cb"]) & _near(percent, "na", "nb", "pa", "pb")
     full = mine.join(other, on).select("a", "b")
-    more = stored(_verified(_filtered(full, sizes, percent), sets, percent), "links")
+    full = stored(_filtered(full, sizes, percent), "across")
+    known = sets.select(F.col("id").alias("doc_id")).distinct()
+    wanted = stored(ids(full).join(known, "doc_id", "left_anti"), "wanted")
+    more = stored(_verified(full, sets.unionByName(_sets_of(docs, wanted, shingle)), percent), "links")
     tops = first.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b")
     groups = components(tops.union(more)).withColumnRenamed("node", "id")
     found = classes.join(groups, "id", "left").select("fp1", "fp2", F.col("n").alias("_n"), F.coalesce("component", "id").alias("component_id"))

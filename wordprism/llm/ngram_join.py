@@ -160,10 +160,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _near(percent: int, na: str, nb: str, pa: str, pb: str) -> Column:
-    """Length and positional filter for two sets that meet at one of their prefix shingles."""
+    """Length and positional filter for two sets that meet at one of their prefix shingles.
+
+    At the first shingle that two sets share in the common order, all they share lies
+    from there on. A pair that fails there fails at its later shingles too, so it is
+    enough that one of them passes.
+    """
     na, nb, pa, pb = (F.col(c) for c in (na, nb, pa, pb))
-    need = _overlap(percent, na, nb)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(pa, pb) + 1 + F.least(na - pa, nb - pb) - 1 >= need)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa, nb - pb) >= _overlap(percent, na, nb))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:

@@ -81,26 +81,27 @@ class Index:
         self.tree = WaveletTree(text[order - 1], kinds)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])
 
-    def least_owner(self, patterns: np.ndarray) -> np.ndarray:
-        """Smallest owner of the occurrences of each pattern (rows of equal length, all of them in the text).
+    def least_owner(self, patterns: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Smallest owner of the occurrences of each pattern (rows of equal length).
 
         Backward search for all patterns in step, from the last word to the first. A
-        pattern whose interval has shrunk to one suffix has no other occurrence and
-        leaves the search.
+        pattern leaves the search when its interval is empty, or, where the pattern is
+        one of this text's own (``own``), when only that one occurrence is left.
         """
+        alone = own.astype(np.int64)
         count, length = patterns.shape
         low, high = self.first[patterns[:, -1]].copy(), self.first[patterns[:, -1] + 1].copy()
-        active = np.flatnonzero(high - low > 1)
+        active = np.flatnonzero(high - low > alone)
         out = np.full(count, _NO)
         for t in range(length - 2, -1, -1):
             word = patterns[active, t]
             both = self.tree.rank(np.concatenate([word, word]), np.concatenate([low[active], high[active]]))
             base = self.first[word]
             low[active], high[active] = base + both[:len(active)], base + both[len(active):]
-            active = active[high[active] - low[active] > 1]
+            active = active[high[active] - low[active] > alone[active]]
             if not len(active):
                 break
-        if len(active):  # whole patterns found more than once: their intervals don't overlap
+        if len(active):  # the intervals of different patterns don't overlap
             begin, which = np.unique(low[active], return_inverse=True)
             end = np.zeros(len(begin), dtype=np.int64)
             end[which] = high[active]
@@ -201,6 +202,7 @@ def _covered(docs: np.ndarray, passages: pa.Array, window: int, shard_words: int
     at = W.ragged(found.row[:-1], windows)  # first word of each window
     patterns = word[at[:, None] + np.arange(window)] + 1
     earliest = np.repeat(least, windows)
+    source = np.repeat(np.arange(len(size)), windows)
     # passages beyond one index's bound are split over several; each pattern meets all of them
     cuts = np.unique(np.searchsorted(found.row, np.arange(0, found.row[-1] + shard_words, shard_words)))
     cuts[-1] = len(size)
@@ -212,7 +214,7 @@ def _covered(docs: np.ndarray, passages: pa.Array, window: int, shard_words: int
         inside[ends] = False
         text[inside] = word[found.row[a]:found.row[b]] + 1
         index = Index(text, len(names) + 1, np.repeat(least[a:b], many), window)
-        earliest = np.minimum(earliest, index.least_owner(patterns))
+        earliest = np.minimum(earliest, index.least_owner(patterns, (source >= a) & (source < b)))
     first = np.cumsum(windows) - windows
     count = windows[content]
     row = np.repeat(np.arange(len(docs)), count)

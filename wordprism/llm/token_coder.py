@@ -155,7 +155,8 @@ class _Reader:
         more = np.flatnonzero(size < _ONE << _TOP)
         if len(more):
             lanes = more if isinstance(who, slice) else who[more]
-            code[more] = (code[more] << _TOP) | self.words[lanes, self.at[lanes]]
+            at = np.minimum(self.at[lanes], self.words.shape[1] - 1)  # a damaged block may ask for more than it has
+            code[more] = (code[more] << _TOP) | self.words[lanes, at]
             self.at[lanes] += 1
             size[more] <<= _TOP
         self.code[who], self.range[who] = code, size

@@ -47,21 +47,22 @@ def _bits(key: Column) -> list[Column]:
     return [F.call_function("shiftleft", one, F.shiftrightunsigned(h, 8 * i).bitwiseAND(63).cast("int")) for i in range(BLOCK_WORDS)]
 
 
-def bloom(listed: DataFrame) -> DataFrame:
-    """One row: ``_blocks`` (how many) and ``_filter`` (their words, one after the other).
+def bloom(listed: DataFrame) -> tuple[Column, Column]:
+    """How many blocks, and their words one after the other: two scalar subqueries.
 
     The number of blocks follows from the list, up to MOST_BLOCKS.
     """
     keys = listed.select(F.concat("host", "path").alias("key")).distinct()
-    count = keys.agg(F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * BITS_PER_URL / (64 * BLOCK_WORDS)))).cast("int").alias("_blocks"))
-    placed = keys.crossJoin(F.broadcast(count)).withColumn("_block", _block(F.col("key"), F.col("_blocks")).cast("int"))
+    count = keys.agg(F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * BITS_PER_URL / (64 * BLOCK_WORDS)))).cast("int"))
+    blocks = count.scalar()
+    placed = keys.withColumn("_blocks", blocks).withColumn("_block", _block(F.col("key"), F.col("_blocks")).cast("int"))
     words = F.array(*[F.bit_or(b) for b in _bits(F.col("key"))])
     filled = placed.groupBy("_block").agg(words.alias("_words"))
     blank = F.array(*[F.lit(0).cast("long")] * BLOCK_WORDS)
-    whole = filled.agg(F.map_from_entries(F.collect_list(F.struct("_block", "_words"))).alias("_map"))
+    whole = filled.agg(F.map_from_entries(F.collect_list(F.struct("_block", "_words"))).alias("_map")).withColumn("_blocks", blocks)
     numbers = F.sequence(F.lit(0), F.col("_blocks") - 1)
     full = F.flatten(F.transform(numbers, lambda i: F.coalesce(F.try_element_at(F.col("_map"), i), blank)))
-    return count.crossJoin(whole).select("_blocks", full.alias("_filter"))
+    return blocks, whole.select(full).scalar()
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, default: str = DEFAULT) -> DataFrame:
@@ -83,8 +84,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = DEFAULT) -> D
     shapes = listed.select(shape.alias("s")).distinct().agg(F.collect_list("s").alias("_shapes"))  # one entry per form of a rule
     url = F.col("url")
     rows = pages.select("page_id", host(url).alias("host"), path(url).alias("path"))
-    # both tables have one row: the shapes and the filter, whose size is bounded
-    rows = rows.crossJoin(F.broadcast(shapes)).crossJoin(F.broadcast(bloom(listed)))
+    blocks, words = bloom(listed)
+    rows = rows.withColumns({"_shapes": shapes.scalar(), "_blocks": blocks, "_filter": words})
     fits = F.filter("_shapes", lambda s: (F.length("path") >= s["length"]) & (F.length("host") > 0))
     keys = F.transform(fits, lambda s: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"]), F.substring(F.col("path"), F.lit(1), s["length"])))
 

@@ -18,7 +18,7 @@ from wordprism.llm import words as W
 from wordprism.session import scratch_path
 
 SEGMENT_IDS = 1 << 20  # ids after which a segment is closed; a document is never cut
-BATCH_IDS = 5 << 20  # ids that are coded or decoded at once
+BATCH_IDS = 2 << 20  # ids that are coded or decoded at once
 END_ID = 0
 _MARK = b"SEG1"
 _HEAD = struct.Struct("<4sI")

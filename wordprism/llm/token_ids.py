@@ -17,7 +17,7 @@ import pyarrow as pa
 from wordprism.llm import words as W
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE_CHUNKS = 2_000_000  # chunks a worker remembers; a full cache is emptied
+CACHE_CHUNKS = 1_500_000  # chunks a worker remembers; a full cache is emptied
 _MEAN = 64  # chunks of more ids are not remembered
 _PIECES = 20_000  # short pre-tokens a worker remembers
 

@@ -374,3 +374,24 @@ def test_token_map(spark, tmp_path):
     path.write_text("a b c\n")
     with pytest.raises(Exception, match="two fields"):
         tokenmap.as_pairs(tokenmap.token_map(spark, str(path)))
+
+
+def test_silhouette_leaves_out_points_without_label(spark):
+    from wordprism.operators.geometry import silhouette
+
+    points = [("a", "x", [0.0, 0.0]), ("b", "x", [0.0, 1.0]), ("c", "y", [40.0, 0.0]), ("d", "y", [40.0, 1.0])]
+    kind = "text_id string, label string, vec array<double>"
+    plain = silhouette(spark.createDataFrame(points, kind)).first()
+    assert silhouette(spark.createDataFrame([*points, ("e", None, [0.0, 0.5])], kind)).first() == plain
+    assert plain.n == 4 and plain.n_classes == 2
+
+
+def test_texts_without_words_stay(spark):
+    from wordprism.operators.tokens import prepared_texts, prepared_words
+    from wordprism.operators.topics import assign_topics
+
+    texts = spark.createDataFrame([("a", "Blue sky blue"), ("b", "12 !"), ("c", "")], "text_id string, text string")
+    assert dict(prepared_texts(prepared_words(texts), texts).collect()) == {"a": "blue sky", "b": "", "c": ""}
+    mixed = spark.createDataFrame([("a", 1, 2.0), ("a", 0, 1.0)], "text_id string, topic int, weight double")
+    names = spark.createDataFrame([(0, "none"), (1, "sky")], "topic int, name string")
+    assert dict(assign_topics(mixed, names, texts).collect()) == {"a": "sky", "b": "none", "c": "none"}

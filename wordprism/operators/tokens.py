@@ -166,6 +166,7 @@ def _ascii_unpunctuated(word: Column) -> Column:
     return F.translate(word, r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""", "")
 
 
-def prepared_texts(words: DataFrame) -> DataFrame:
-    """``text_id, processed_text``: the words of a text in order, joined by blanks."""
-    return words.groupBy("text_id").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("processed_text"))
+def prepared_texts(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """``text_id, processed_text`` for every text: its words in order, joined by blanks; empty without words."""
+    listed = words.groupBy("text_id").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("processed_text"))
+    return texts.select("text_id").join(listed, "text_id", "left").select("text_id", F.coalesce("processed_text", F.lit("")).alias("processed_text"))

@@ -61,7 +61,7 @@ def term_vectors(matrix: DataFrame, texts: DataFrame, size: int, value: str) ->
 
 def fit_lda(vectors: DataFrame, terms: DataFrame, topics: int = TOPICS, seed: int = 1537) -> tuple[DataFrame, DataFrame]:
     """Online variational LDA: ``topic, term, weight`` and ``text_id, topic, weight``."""
-    model = LDA(k=topics, maxIter=5, optimizer="online", learningOffset=50.0, learningDecay=0.7, seed=seed).fit(vectors)
+    model = LDA(k=topics, maxIter=5, optimizer="online", learningOffset=50.0, learningDecay=0.7, subsamplingRate=1.0, seed=seed).fit(vectors)
     mixed = model.transform(vectors).select("text_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
     return _term_table(vectors.sparkSession, model.topicsMatrix().toArray().T, terms), mixed
 
@@ -169,7 +169,11 @@ def topic_words(components: DataFrame, words: int = WORDS_PER_TOPIC) -> DataFram
     return listed.select("topic", F.array_join(F.transform("l", lambda x: x["term"]), "-").alias("name"))
 
 
-def assign_topics(mixed: DataFrame, names: DataFrame) -> DataFrame:
-    """``text_id, topic``: the name of the heaviest topic of a text, the first on ties."""
+def assign_topics(mixed: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
+    """``text_id, topic`` for every text: the name of its heaviest topic, the first on ties.
+
+    A text without terms has weight 0 for all topics, so it gets topic 0.
+    """
     best = mixed.groupBy("text_id").agg(F.min_by("topic", F.struct(-F.col("weight"), "topic")).alias("topic"))
-    return best.join(names, "topic").select("text_id", F.col("name").alias("topic"))
+    every = texts.select("text_id").join(best, "text_id", "left").withColumn("topic", F.coalesce("topic", F.lit(0)))
+    return every.join(names, "topic").select("text_id", F.col("name").alias("topic"))

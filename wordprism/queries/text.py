@@ -172,10 +172,15 @@ cte(
 )
 
 
-@query("fn_preprocess", "select text_id, string_agg(word, ' ' order by word) as processed_text from prepared group by text_id")
+@query(
+    "fn_preprocess",
+    """
+    select text_id, coalesce(string_agg(word, ' ' order by word), '') as processed_text
+    from texts left join prepared using (text_id) group by text_id""",
+)
 def fn_preprocess(spark, sf_dir):
-    words = tk.prepared_words(texts(spark, sf_dir), stopwords.stop_words(spark))
-    return tk.prepared_texts(words)
+    rows = texts(spark, sf_dir)
+    return tk.prepared_texts(tk.prepared_words(rows, stopwords.stop_words(spark)), rows)
 
 
 @query(

@@ -57,21 +57,21 @@ def ml_lda(spark, sf_dir):
     rows, terms, counts = prepared(spark, sf_dir)
     vectors = topics.term_vectors(counts, rows, terms.count(), "n")
     components, mixed = topics.fit_lda(vectors, terms)
-    return topics.assign_topics(mixed, topics.topic_words(components))
+    return topics.assign_topics(mixed, topics.topic_words(components), texts(spark, sf_dir))
 
 
 @query("ml_nmf")
 def ml_nmf(spark, sf_dir):
     _, terms, matrix = weighted(spark, sf_dir)
     components, mixed, _ = topics.fit_nmf(matrix, terms)
-    return topics.assign_topics(mixed, topics.topic_words(components))
+    return topics.assign_topics(mixed, topics.topic_words(components), texts(spark, sf_dir))
 
 
 @query("ml_svd")
 def ml_svd(spark, sf_dir):
     rows, terms, matrix = weighted(spark, sf_dir)
     components, scores = topics.fit_svd(matrix, rows, terms)
-    return topics.assign_topics(scores, topics.topic_words(components))
+    return topics.assign_topics(scores, topics.topic_words(components), rows)
 
 
 # Languages stand in for fitted topics: their weights are sums of TF-IDF cells.
@@ -110,8 +110,10 @@ def ml_topic_words(spark, sf_dir):
     "ml_topic_assign",
     """
     select text_id, name as topic from (
+      select text_id, coalesce(b.topic, 0) as topic from texts left join (
       select text_id, t.topic from tfidf f join lang_topic t using (term) group by text_id, t.topic
       qualify row_number() over (partition by text_id order by round(sum(f.weight * round(t.weight, 9)), 9) desc, t.topic) = 1)
+      b using (text_id))
     join topic_name using (topic)""",
 )
 def ml_topic_assign(spark, sf_dir):
@@ -119,4 +121,4 @@ def ml_topic_assign(spark, sf_dir):
     mixed = matrix.join(components.withColumnRenamed("weight", "_c"), "term").groupBy("text_id", "topic").agg(
         F.round(F.sum(F.col("weight") * F.col("_c")), 9).alias("weight")
     )
-    return topics.assign_topics(mixed, topics.topic_words(components))
+    return topics.assign_topics(mixed, topics.topic_words(components), texts(spark, sf_dir))

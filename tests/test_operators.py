@@ -227,6 +227,19 @@ def test_names_round_trip(spark):
     assert {r["layer"] for r in parsed.collect()} == {None, 8, 100}
 
 
+def test_store_keeps_what_others_wrote(spark, tmp_path):
+    root = str(tmp_path)
+    for dataset, label in (("one", "a"), ("two", "b")):
+        catalog.save_texts(texts(spark, ("x", label)), root, dataset)
+    point = spark.createDataFrame([("t_0", 8, "PCA", 1.0, 2.0)], "text_id string, layer int, method string, x double, y double")
+    score = spark.createDataFrame([(8, "PCA", 0.5)], "layer int, method string, sh double")
+    for layer in (8, 12):
+        catalog.save_projection(point.withColumn("layer", F.lit(layer)), score.withColumn("layer", F.lit(layer)), root, "one", "m")
+    got = rows(catalog.stored_artifacts(spark, root).na.fill(-1).na.fill(""), "dataset", "kind", "layer", "method")
+    assert got == [("one", "sentence", 8, "PCA"), ("one", "sentence", 12, "PCA"), ("one", "text", -1, ""), ("two", "text", -1, "")]
+    assert rows(catalog.scan(spark, root, "text", dataset="one"), "label") == [("a",)]
+
+
 def test_missing_token_is_an_error(spark):
     a = spark.createDataFrame([("x", "known", 1.0), ("x", "lost", 1.0)], "class string, token string, score double")
     o = spark.createDataFrame([("known", "t_0")], "token string, text_id string")
@@ -309,6 +322,8 @@ def test_svm_separates(spark):
     values = spark.createDataFrame([(f"t_{i}", f"k{j}", float((j == i % 3) + 0.1 * rng.random())) for i in range(60) for j in range(4)], "text_id string, token string, value double")
     vocab = spark.createDataFrame([(f"k{j}", j) for j in range(4)], "token string, idx long")
     model = classify.fit_svm(values, data, vocab)
+    with pytest.raises(RuntimeError, match="converged"):
+        classify.fit_svm(values, data, vocab, steps=1)
     predicted = classify.predict(values, data, model)
     assert predicted.where("label <> predicted").count() == 0
     report = stats.class_report(predicted, model.classes)
@@ -326,9 +341,11 @@ def test_nmf_loss_does_not_rise(spark):
     cells = [(f"t_{i}", f"k{j}", j, float(v)) for i in range(30) for j, v in enumerate(rng.random(8) * (rng.random(8) > 0.4)) if v]
     matrix = spark.createDataFrame(cells, "text_id string, term string, idx long, weight double")
     terms = spark.createDataFrame([(f"k{j}", j, 1) for j in range(8)], "term string, idx long, df long")
-    components, _, losses = topics.fit_nmf(matrix, terms, 2, 6)
+    components, _, losses = topics.fit_nmf(matrix, terms, 2)
     assert all(b <= a + 1e-9 for a, b in zip(losses, losses[1:]))
     assert topics.topic_words(components).count() == 2
+    with pytest.raises(RuntimeError, match="settled"):
+        topics.fit_nmf(matrix, terms, 2, 6)
 
 
 def test_infidelity_of_exact_attribution_is_small(spark):
@@ -359,7 +376,7 @@ def test_folder_and_stories(spark, tmp_path):
         file = tmp_path / "root" / f"{name}.txt"
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_text(text)
-    got = rows(corpus.folder_corpus(spark, str(tmp_path / "root"), tokens={"a": "z"}), "text_id", "label", "text")
+    got = rows(corpus.folder_corpus(spark, str(tmp_path / "root"), tokens=spark.createDataFrame([(0, "a", "z")], "ord int, key string, value string")), "text_id", "label", "text")
     assert got == [("BBCNews_sport_001", "sport", "z b"), ("BBCNews_tech_001", "tech", "x" * 5000)]
     path = tmp_path / "stories.txt"
     path.write_text(" one \ntwo\n<|endoftext|>\nthree\n\n<|endoftext|>\nlost\n")
@@ -370,10 +387,16 @@ def test_folder_and_stories(spark, tmp_path):
 def test_token_map(spark, tmp_path):
     path = tmp_path / "map.txt"
     path.write_text("a  b\nc\na\td\n")
-    assert tokenmap.as_pairs(tokenmap.token_map(spark, str(path))) == {"a": "d", "c": ""}
+    read = tokenmap.token_map(spark, str(path))
+    assert rows(read, "ord", "key", "value") == [(0, "a", "b"), (1, "c", ""), (2, "a", "d")]
+    hand = spark.createDataFrame([("a c ac", "t$1")], "x string, y string")
+    assert tokenmap.replace_words(hand, "x", read).first()["x"] == "d  ac"
+    assert tokenmap.replace_words(hand, "x", read.limit(0)).first()["x"] == "a c ac"
+    odd = spark.createDataFrame([(0, "a", "x$1\\"), (1, "ac", "\\E")], "ord int, key string, value string")
+    assert tokenmap.replace_words(hand, "x", odd).first()["x"] == "x$1\\ c \\E"
     path.write_text("a b c\n")
     with pytest.raises(Exception, match="two fields"):
-        tokenmap.as_pairs(tokenmap.token_map(spark, str(path)))
+        tokenmap.token_map(spark, str(path)).collect()
 
 
 def test_silhouette_leaves_out_points_without_label(spark):

@@ -106,6 +106,26 @@ def map_text(text: Column | str, pairs: Mapping[str, str] | Iterable[tuple[str,
     return result
 
 
+def whole_word(key: Column | str) -> Column:
+    """The pattern of :func:`map_text` for keys that come as a column."""
+    key = _col(key)
+    quoted = F.concat(F.lit("\\Q"), F.replace(key, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    left = F.when(key.rlike(f"^{WORD}"), f"(?<!{WORD})").otherwise(f"(?<={WORD})")
+    right = F.when(key.rlike(f"{WORD}$"), f"(?!{WORD})").otherwise(f"(?={WORD})")
+    return F.concat(left, quoted, right)
+
+
+def literal(value: Column | str) -> Column:
+    """A replacement that stands for itself."""
+    slashes = F.replace(_col(value), F.lit("\\"), F.lit("\\\\"))
+    return F.replace(slashes, F.lit("$"), F.lit("\\$"))
+
+
+def map_text_by(text: Column | str, pairs: Column) -> Column:
+    """:func:`map_text` for an array of ``pattern, literal``: the plan does not grow with the map."""
+    return F.aggregate(pairs, _col(text), lambda done, pair: F.regexp_replace(done, pair["pattern"], pair["literal"]))
+
+
 def is_number(token: Column | str) -> Column:
     token = _col(token)
     return token.rlike(r"^\p{N}+$") | token.rlike(NUMBER)

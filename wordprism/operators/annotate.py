@@ -192,13 +192,3 @@ def occurrences(token_rows: DataFrame, tags: DataFrame) -> DataFrame:
     """Long inverted index: one row per occurrence of a token, with its word."""
     rows = token_rows.where(F.trim("token") != "")
     return align(rows.withColumn("token", F.trim("token")), tags)
-
-
-def nested_index(occurrence: DataFrame) -> DataFrame:
-    """Inverted index with one row per token, occurrences in text order.
-
-    Meant for filtered tokens: an unfiltered function word has as many
-    occurrences as the corpus has texts.
-    """
-    entry = F.struct("text_id", "start", "end", "label", "tag_word", "tag_desc", "tag_start", "tag_end", "entity")
-    return occurrence.groupBy("token").agg(F.array_sort(F.collect_list(entry)).alias("occurrences"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 #   <dataset>-<n>_<model>-b<layer>_sentence_proj-<method>
 #   <dataset>-<n>_<model>-b<layer>_class_explanation-<method>
 KINDS = {"text": None, "token": "info", "sentence": "proj", "class": "explanation"}
-PARTITIONS = ("dataset", "model", "layer", "kind", "method")
 _LAYER = r"-b(\d+)$"
 
 
@@ -128,30 +128,55 @@ def write_artifact(df: DataFrame, root: str, name: str, partitions: tuple[str, .
     writer.parquet(f"{root.rstrip('/')}/{name}")
 
 
-def save_texts(texts: DataFrame, root: str) -> None:
-    write_artifact(texts, root, "text")
+def _keyed(df: DataFrame, **keys) -> DataFrame:
+    return df.withColumns({name: F.lit(value) for name, value in keys.items()})
+
+
+def save_texts(texts: DataFrame, root: str, dataset: str) -> None:
+    write_artifact(_keyed(texts, dataset=dataset), root, "text", ("dataset",))
 
 
 def save_features(token_vec: DataFrame, root: str, dataset: str, model: str) -> None:
-    rows = token_vec.withColumn("dataset", F.lit(dataset)).withColumn("model", F.lit(model))
-    write_artifact(rows, root, "features", ("dataset", "model", "layer"))
+    write_artifact(_keyed(token_vec, dataset=dataset, model=model), root, "features", ("dataset", "model", "layer"))
 
 
-def save_token_info(occurrence: DataFrame, root: str) -> None:
+def save_token_info(occurrence: DataFrame, root: str, dataset: str, model: str) -> None:
     """Long inverted index in token order, so that row groups can be skipped by token."""
     ordered = occurrence.repartitionByRange("token", "text_id").sortWithinPartitions("token", "text_id", "start")
-    write_artifact(ordered, root, "token_info")
-
-
-def save_projection(projection: DataFrame, scores: DataFrame, root: str) -> None:
-    write_artifact(projection, root, "projection", ("method",))
-    write_artifact(scores, root, "projection_score", ("method",))
-
-
-def save_explanation(attribution: DataFrame, report: DataFrame, rows: DataFrame, root: str) -> None:
-    write_artifact(attribution, root, "explanation", ("method",))
-    write_artifact(report, root, "class_report", ("method",))
-    write_artifact(rows, root, "explanation_report", ("method",))
+    write_artifact(_keyed(ordered, dataset=dataset, model=model), root, "token_info", ("dataset", "model"))
+
+
+def save_projection(projection: DataFrame, scores: DataFrame, root: str, dataset: str, model: str) -> None:
+    """Rows with ``layer`` and ``method``; other data sets, models, layers and methods stay."""
+    by = ("dataset", "model", "layer", "method")
+    write_artifact(_keyed(projection, dataset=dataset, model=model), root, "projection", by)
+    write_artifact(_keyed(scores, dataset=dataset, model=model), root, "projection_score", by)
+
+
+def save_explanation(
+    attribution: DataFrame, report: DataFrame, rows: DataFrame, root: str, dataset: str, model: str, layer: int
+) -> None:
+    """Rows with ``method``; other data sets, models, layers and methods stay."""
+    by, keys = ("dataset", "model", "layer", "method"), {"dataset": dataset, "model": model, "layer": layer}
+    for name, part in (("explanation", attribution), ("class_report", report), ("explanation_report", rows)):
+        write_artifact(_keyed(part, **keys), root, name, by)
+
+
+def stored_artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """``dataset, model, layer, kind, method`` of what a store holds, read from its partitions."""
+    shape = {"dataset": "string", "model": "string", "layer": "int", "kind": "string", "method": "string"}
+    listed = spark.createDataFrame([], ", ".join(f"{name} {kind}" for name, kind in shape.items()))
+    for name, kind in (("text", "text"), ("token_info", "token"), ("projection", "sentence"), ("explanation", "class")):
+        try:
+            rows = scan(spark, root, name)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        rows = rows.withColumn("kind", F.lit(kind))
+        columns = [(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in shape.items()]
+        listed = listed.unionByName(rows.select(*columns).distinct())
+    return listed
 
 
 def scan(spark: SparkSession, root: str, name: str, **equals) -> DataFrame:

@@ -54,15 +54,16 @@ def apply_minmax(cells: DataFrame, scaler: DataFrame, texts: DataFrame) -> DataF
 
     A token that every training text holds has a minimum above 0, so its absence
     is a negative value and becomes a row. Such tokens are at most as many as the
-    shortest training text has.
+    shortest training text has. A minimum below 0 would turn every absent cell into
+    a row, so the task that meets one fails.
     """
     own = cells.join(texts.select("text_id"), "text_id", "left_semi")
     present = own.join(scaler, "token").select(
         "text_id", "token", ((F.col("weight") - F.col("lo")) / F.col("span")).alias("value")
     )
-    lifted = scaler.where(F.col("lo") != 0).agg(
-        F.collect_list(F.struct("token", (-F.col("lo") / F.col("span")).alias("value"))).alias("l")
-    ).scalar()
+    below = F.raise_error(F.concat(F.lit("negative weights of "), F.col("token"))).cast("double")
+    value = F.when(F.col("lo") < 0, below).otherwise(-F.col("lo") / F.col("span"))
+    lifted = scaler.where(F.col("lo") != 0).agg(F.collect_list(F.struct("token", value.alias("value")))).scalar()
     absent = texts.select("text_id", F.inline(lifted)).join(own.select("text_id", "token"), ["text_id", "token"], "left_anti")
     return present.unionByName(absent)
 
@@ -103,11 +104,11 @@ def feature_vectors(values: DataFrame, texts: DataFrame, vocab: DataFrame) -> Da
     )
 
 
-def fit_svm(values: DataFrame, train: DataFrame, vocab: DataFrame, c: float = 1.0, steps: int = 30) -> LinearModel:
+def fit_svm(values: DataFrame, train: DataFrame, vocab: DataFrame, c: float = 1.0, steps: int = 1000) -> LinearModel:
     """One linear SVM per class against the rest, and a sigmoid per class.
 
     The coefficients of each class reach the driver once as a vector and leave it
-    as a table.
+    as a table. Raises if a class has not converged within ``steps``.
     """
     spark = values.sparkSession
     rows = feature_vectors(values, train, vocab)
@@ -119,6 +120,8 @@ def fit_svm(values: DataFrame, train: DataFrame, vocab: DataFrame, c: float = 1.
         model = OneVsRest(
             classifier=svm, featuresCol="features", labelCol="y", parallelism=min(len(index.labels), 8)
         ).fit(ready)
+        if any(part.summary().totalIterations >= steps for part in model.models):
+            raise RuntimeError(f"the linear classifier has not converged in {steps} steps")
         coef = [np.asarray(part.coefficients.toArray()) for part in model.models]
         bias = [float(part.intercept) for part in model.models]
         scored = ready
@@ -139,11 +142,12 @@ def fit_svm(values: DataFrame, train: DataFrame, vocab: DataFrame, c: float = 1.
     return LinearModel(long, spark.createDataFrame(classes, "class string, bias double, a double, b double"))
 
 
-def fit_sigmoids(margin_rows: DataFrame, n_classes: int, steps: int = 12) -> list[tuple[float, float]]:
+def fit_sigmoids(margin_rows: DataFrame, n_classes: int, steps: int = 100) -> list[tuple[float, float]]:
     """``(a, b)`` per class with P = 1 / (1 + exp(a margin + b)), by Newton steps.
 
     ``margin_rows`` has ``k, m, hit``. Targets are smoothed by the class sizes.
-    Each step is one aggregation that returns five sums per class.
+    Each step is one aggregation that returns five sums per class. Raises if the
+    steps have not settled after ``steps`` of them.
     """
     rows = margin_rows.persist()
     try:
@@ -171,6 +175,8 @@ def fit_sigmoids(margin_rows: DataFrame, n_classes: int, steps: int = 12) -> lis
                 moved = max(moved, float(np.abs(step).max()))
             if moved < 1e-6:
                 break
+        else:
+            raise RuntimeError(f"the sigmoids have not settled in {steps} steps")
     finally:
         rows.unpersist()
     return [(float(x), float(y)) for x, y in zip(a, b)]
@@ -179,7 +185,7 @@ def fit_sigmoids(margin_rows: DataFrame, n_classes: int, steps: int = 12) -> lis
 def margins(values: DataFrame, texts: DataFrame, model: LinearModel) -> DataFrame:
     """``text_id, class, margin, a, b`` for every text and class."""
     sums = (
-        values.join(model.coef, "token")
+        values.join(texts.select("text_id"), "text_id", "left_semi").join(model.coef, "token")
         .groupBy("text_id", "class").agg(F.sum(F.col("value") * F.col("weight")).alias("_s"))
     )
     listed = model.classes.agg(F.array_sort(F.collect_list(F.struct("class", "bias", "a", "b")))).scalar()

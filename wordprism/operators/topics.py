@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordprism.operators.geometry import second_moments
+from wordprism.plans.tables import stored
 
 # Limits on document frequency and on the number of terms.
 MIN_SHARE, MAX_SHARE, MOST_TERMS = 0.05, 0.95, 1000
 TOPICS, WORDS_PER_TOPIC = 5, 3
+_REPLAYED = 10  # updates that a task repeats before the row factors are stored
 
 
 def count_terms(words: DataFrame, texts: DataFrame) -> DataFrame:
@@ -23,9 +25,8 @@ def count_terms(words: DataFrame, texts: DataFrame) -> DataFrame:
     At most 1,000 terms, by total count (ties to the smaller term), numbered in order.
     """
     n = texts.agg(F.count(F.lit(1))).scalar()
-    counts = words.where(F.length("word") >= 2).groupBy(F.col("word").alias("term")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_distinct("text_id").alias("df")
-    )
+    per_text = words.where(F.length("word") >= 2).groupBy("text_id", F.col("word").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    counts = per_text.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df"))
     inside = counts.where((F.col("df") >= MIN_SHARE * n) & (F.col("df") <= MAX_SHARE * n))
     best = inside.orderBy(F.desc("total"), "term").limit(MOST_TERMS)
     order = Window.orderBy("term")  # at most 1,000 rows
@@ -81,24 +82,28 @@ def _dense(batch: pd.DataFrame, m: int) -> np.ndarray:
     return x
 
 
-def fit_nmf(matrix: DataFrame, terms: DataFrame, topics: int = TOPICS, steps: int = 20, seed: int = 1537):
+def fit_nmf(
+    matrix: DataFrame, terms: DataFrame, topics: int = TOPICS, steps: int = 1000, tolerance: float = 1e-4, seed: int = 1537
+):
     """Non-negative factors by multiplicative updates.
 
     Returns ``topic, term, weight``, ``text_id, topic, weight`` and the losses. The
-    topics-by-terms factor is small; rows of the other one are rebuilt in their
-    task by replaying the updates, so each step is one pass that returns sums.
+    topics-by-terms factor is small; the rows of the other one are stored every few
+    steps and updated in their task in between, so each step is one pass that
+    returns sums. Stops when ten steps lower the error by less than ``tolerance``
+    of the first error; raises if that has not happened after ``steps``. Texts
+    without terms have no rows.
     """
     spark = matrix.sparkSession
     m = terms.count()
-    rows = matrix.groupBy("text_id").agg(
-        F.collect_list(F.col("idx")).alias("idx"), F.collect_list("weight").alias("val")
-    ).persist()
+    rows = matrix.groupBy("text_id").agg(F.collect_list(F.col("idx")).alias("idx"), F.collect_list("weight").alias("val"))
+    factor = stored(rows.withColumn("w", F.array_repeat(F.lit(0.1), topics)), "factor")
     rng = np.random.default_rng(seed)
-    history = [0.1 + rng.random((topics, m)) / np.sqrt(m)]
+    recent = [0.1 + rng.random((topics, m)) / np.sqrt(m)]
     tiny = 1e-12
 
-    def replay(x: np.ndarray, past: list[np.ndarray]) -> np.ndarray:
-        w = np.full((len(x), topics), 0.1)
+    def updated(batch: pd.DataFrame, x: np.ndarray, past: list[np.ndarray]) -> np.ndarray:
+        w = np.stack([np.asarray(v, dtype=np.float64) for v in batch["w"]])
         for h in past:
             w = w * (x @ h.T) / np.maximum(w @ (h @ h.T), tiny)
         return w
@@ -108,39 +113,46 @@ def fit_nmf(matrix: DataFrame, terms: DataFrame, topics: int = TOPICS, steps: in
             total = np.zeros((topics, m + topics))
             loss = 0.0
             for batch in batches:
-                x = _dense(batch, m)
-                w = replay(x, past)
-                total[:, :m] += w.T @ x
-                total[:, m:] += w.T @ w
-                loss += float(((x - w @ past[-1]) ** 2).sum())
+                if len(batch):
+                    x = _dense(batch, m)
+                    w = updated(batch, x, past)
+                    total[:, :m] += w.T @ x
+                    total[:, m:] += w.T @ w
+                    loss += float(((x - w @ past[-1]) ** 2).sum())
             yield pd.DataFrame({"topic": np.arange(topics), "s": list(total), "loss": [loss] + [0.0] * (topics - 1)})
 
         return run
 
-    losses = []
-    try:
-        for _ in range(steps):
-            parts = rows.select("idx", "val").mapInPandas(sums(history), "topic int, s array<double>, loss double")
-            # partial sums of the partitions meet per topic and term
-            merged = parts.select("topic", "loss", F.posexplode("s").alias("i", "v")).groupBy("topic", "i").agg(
-                F.sum("v").alias("v"), F.sum(F.when(F.col("i") == 0, F.col("loss")).otherwise(0.0)).alias("loss")
-            ).toPandas()
-            total = np.zeros((topics, m + topics))
-            total[merged["topic"], merged["i"]] = merged["v"]
-            losses.append(float(merged["loss"].sum()))
-            h = history[-1]
-            history.append(h * total[:, :m] / np.maximum(total[:, m:] @ h, tiny))
-        past = history
-
-        def weights(batches):
+    def advance(past: list[np.ndarray]):
+        def run(batches):
             for batch in batches:
-                w = replay(_dense(batch, m), past)
-                yield pd.DataFrame({"text_id": np.repeat(batch["text_id"].to_numpy(), topics), "topic": np.tile(np.arange(topics), len(batch)), "weight": w.ravel()})
+                if len(batch):
+                    yield batch.assign(w=list(updated(batch, _dense(batch, m), past)))
+
+        return run
 
-        mixed = rows.mapInPandas(weights, "text_id string, topic int, weight double")
-    finally:
-        rows.unpersist()
-    return _term_table(spark, history[-1], terms), mixed, losses
+    losses = []
+    for _ in range(steps):
+        parts = factor.mapInPandas(sums(list(recent)), "topic int, s array<double>, loss double")
+        # partial sums of the partitions meet per topic and term
+        merged = parts.select("topic", "loss", F.posexplode("s").alias("i", "v")).groupBy("topic", "i").agg(
+            F.sum("v").alias("v"), F.sum(F.when(F.col("i") == 0, F.col("loss")).otherwise(0.0)).alias("loss")
+        ).toPandas()
+        total = np.zeros((topics, m + topics))
+        total[merged["topic"], merged["i"]] = merged["v"]
+        losses.append(float(merged["loss"].sum()))
+        h = recent[-1]
+        recent.append(h * total[:, :m] / np.maximum(total[:, m:] @ h, tiny))
+        if len(recent) > _REPLAYED:
+            factor = stored(factor.mapInPandas(advance(recent[:-1]), factor.schema), "factor")
+            recent = recent[-1:]
+        if len(losses) > 10 and np.sqrt(losses[-11]) - np.sqrt(losses[-1]) <= tolerance * np.sqrt(losses[0]):
+            break
+    else:
+        raise RuntimeError(f"the factors have not settled in {steps} steps")
+    last = stored(factor.mapInPandas(advance(recent), factor.schema), "factor")
+    mixed = last.select("text_id", F.posexplode("w").alias("topic", "weight"))
+    return _term_table(spark, recent[-1], terms), mixed, losses
 
 
 def fit_svd(matrix: DataFrame, texts: DataFrame, terms: DataFrame, topics: int = TOPICS):

@@ -144,27 +144,31 @@ def page(texts: DataFrame, number: int, size: int = PAGE, order: tuple[str, ...]
     return chosen.withColumn("row", (F.row_number().over(at) + number * size).cast("long"))
 
 
-def pages(texts: DataFrame, size: int = PAGE, order: tuple[str, ...] = ("ord",)) -> DataFrame:
+def _controls(page: Column, n: Column, size: int) -> dict[str, Column]:
+    first = page * size + 1
+    last = F.least(first + size - 1, n)
+    return {
+        "first_row": first.cast("long"),
+        "last_row": last.cast("long"),
+        "label": F.concat(first.cast("string"), F.lit("-"), last.cast("string")),
+        "has_previous": page > 0,
+        "has_next": first + size - 1 < n,
+    }
+
+
+def pages(texts: DataFrame, size: int = PAGE) -> DataFrame:
     """The page table: ``page, first_row, last_row, label, has_previous, has_next``."""
-    n = texts.agg(F.count(F.lit(1)).alias("n"))
-    numbers = n.select("n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / size) - 1))).alias("page"))
-    first = F.col("page") * size + 1
-    last = F.least(first + size - 1, F.col("n"))
-    rows = numbers.where(F.col("n") > 0)
-    return rows.select(
-        F.col("page").cast("long").alias("page"),
-        first.cast("long").alias("first_row"),
-        last.cast("long").alias("last_row"),
-        F.concat(first.cast("string"), F.lit("-"), last.cast("string")).alias("label"),
-        (F.col("page") > 0).alias("has_previous"),
-        (first + size - 1 < F.col("n")).alias("has_next"),
-    )
+    n = texts.count()
+    numbers = texts.sparkSession.range(-(-n // size)).withColumnRenamed("id", "page")
+    return numbers.withColumns(_controls(F.col("page"), F.lit(n).cast("long"), size))
 
 
 def paged(texts: DataFrame, size: int = PAGE, order: tuple[str, ...] = ("ord",)) -> DataFrame:
-    """All texts with their ``row`` (from 1) and ``page`` (from 0)."""
-    ranked = with_global_rank(texts, list(order), "row")
-    return ranked.withColumn("page", F.floor(F.col("row") / size).cast("long")).withColumn("row", F.col("row") + 1)
+    """All texts with their ``row`` (from 1), ``page`` (from 0) and the controls of the page."""
+    n = texts.agg(F.count(F.lit(1))).scalar()
+    ranked = with_global_rank(texts, list(order), "row").withColumn("_n", n)
+    ranked = ranked.withColumn("page", F.floor(F.col("row") / size).cast("long")).withColumn("row", F.col("row") + 1)
+    return ranked.withColumns(_controls(F.col("page"), F.col("_n"), size)).drop("_n")
 
 
 def text_list(texts: DataFrame, selected: DataFrame | None, spans: DataFrame | None = None, marks: bool = True) -> DataFrame:

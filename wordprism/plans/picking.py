@@ -26,21 +26,17 @@ def first_per_class(df: DataFrame, quotas: DataFrame, label: str, key: str, seed
     drawn = df.withColumn("_draw", draw_key(key, seed)).withColumn("_bucket", F.substring("_draw", 1, _PREFIX))
     histogram = drawn.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     upto = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = histogram.withColumn("_upto", F.sum("_size").over(upto))
     cut = (
-        histogram.withColumn("_upto", F.sum("_size").over(upto))
-        .join(quotas.select(label, F.col("n").cast("long").alias("_n")), label)
-        .where(F.col("_upto") >= F.col("_n"))
-        .groupBy(label)
-        .agg(
-            F.min("_bucket").alias("_cut"),
-            F.min_by(F.col("_n") - F.col("_upto") + F.col("_size"), "_bucket").alias("_open"),
-        )
+        sizes.join(quotas.select(label, F.col("n").cast("long").alias("_n")), label)
+        .where(F.col("_upto") - F.col("_size") < F.col("_n"))
+        .select(label, "_bucket", F.when(F.col("_upto") > F.col("_n"), F.col("_n") - F.col("_upto") + F.col("_size")).alias("_open"))
     )
-    marked = drawn.join(cut, label)
-    inside = marked.where(F.col("_bucket") < F.col("_cut"))
+    marked = drawn.join(cut, [label, "_bucket"])  # both keys, so a class is spread over its buckets
+    inside = marked.where(F.col("_open").isNull())
     numbered = Window.partitionBy(label, "_bucket").orderBy("_draw", key)
     border = (
-        marked.where(F.col("_bucket") == F.col("_cut"))
+        marked.where(F.col("_open").isNotNull())
         .withColumn("_rn", F.row_number().over(numbered))
         .where(F.col("_rn") <= F.col("_open"))
         .drop("_rn")

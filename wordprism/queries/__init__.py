@@ -1,3 +1,3 @@
 """One registered query per operator, over the given tables."""
 
-from wordprism.queries import text, tokens, sampling, geometry, catalog, select, views, explain, topics  # noqa: F401
+from wordprism.queries import sources, text, tokens, sampling, geometry, catalog, select, views, explain, topics  # noqa: F401

@@ -121,5 +121,4 @@ def jn_label_projection(spark, sf_dir):
 def q_page(spark, sf_dir):
     """All pages of the text list with their controls."""
     rows = texts(spark, sf_dir).select("text_id", "ord")
-    controls = views.pages(rows).select("page", "label", "has_previous", "has_next")
-    return views.paged(rows).join(controls, "page").select("page", "row", "text_id", "label", "has_previous", "has_next")
+    return views.paged(rows).select("page", "row", "text_id", "label", "has_previous", "has_next")

@@ -295,7 +295,7 @@ def jn_token_explanation(spark, sf_dir):
     return cat.tokens_of_explanation(scores, spans(spark, sf_dir)).select("text_id", "label", "pos", "token", "start", "end")
 
 
-@query("snk_explanation")
+@query("snk_explanation", """select 'SHAP' as method, "class", token, round(score, 6) as score from attribution""")
 def snk_explanation(spark, sf_dir):
     """Attribution, class report and row report, written and read back by method."""
     s, model, predictions, phi = explained(spark, sf_dir)
@@ -305,6 +305,7 @@ def snk_explanation(spark, sf_dir):
         explain.class_attribution(phi, predictions, model).select(method, "class", "token", "score"),
         stats.class_report(predictions, model.classes).select(method, "class", "precision", "recall", "f1", "accuracy"),
         explain.infidelity(s.values, predictions, phi, model).select(method, "text_id", "infidelity"),
-        root,
+        root, "documents", "hashed", 0,
     )
-    return cat.scan(spark, root, "explanation", method="SHAP")
+    rows = cat.scan(spark, root, "explanation", dataset="documents", model="hashed", layer=0, method="SHAP")
+    return _rounded(rows.select("method", "class", "token", "score"), ("score",))

@@ -40,8 +40,8 @@ def src_stop_words(spark, sf_dir):
 @query("snk_text", "select * from texts")
 def snk_text(spark, sf_dir):
     root = scratch_path(spark, "artifacts")
-    cat.save_texts(texts(spark, sf_dir), root)
-    return cat.scan(spark, root, "text")
+    cat.save_texts(texts(spark, sf_dir), root, "documents")
+    return cat.scan(spark, root, "text", dataset="documents").drop("dataset")
 
 
 @query("prj_title_text", f"select p_partkey, {_strip('p_name')} || ' ' || {_strip('p_type')} as text from part")

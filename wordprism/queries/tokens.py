@@ -104,8 +104,8 @@ def idx_inverted(spark, sf_dir):
 @query("snk_token_info", f"select {_OCCURRENCE} from occurrence")
 def snk_token_info(spark, sf_dir):
     root = scratch_path(spark, "artifacts")
-    cat.save_token_info(occurrences(spark, sf_dir), root)
-    return cat.scan(spark, root, "token_info")
+    cat.save_token_info(occurrences(spark, sf_dir), root, "documents", "hashed")
+    return cat.scan(spark, root, "token_info", dataset="documents", model="hashed").drop("dataset", "model")
 
 
 def _rounded(count: int) -> str:
@@ -179,13 +179,14 @@ def emb_text_token_matrix(spark, sf_dir):
     return matrix.select("text_id", "idx", F.round("weight", 6).alias("weight"))
 
 
-@query("snk_features")
+@query("snk_features", f'select text_id, 12 as layer, pos, token, "start", "end", {_rounded(8)} from token_vec')
 def snk_features(spark, sf_dir):
     """Writes token vectors by layer and reads one layer back."""
     root = scratch_path(spark, "artifacts")
     cat.save_features(embed.encode_hashed(texts(spark, sf_dir), layer=12), root, "documents", "hashed")
     rows = cat.scan(spark, root, "features", dataset="documents", model="hashed", layer=12)
-    return rows.select("text_id", "layer", "pos", "token", "start", "end")
+    values = [F.round(F.col("vec")[k], 6).alias(f"v{k}") for k in range(embed.DIMENSIONS)]
+    return rows.select("text_id", "layer", "pos", "token", "start", "end", *values)
 
 
 @query("agg_token_freq", "select token, frequency from freq")

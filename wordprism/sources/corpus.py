@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from wordprism.functions import text as tx
 from wordprism.plans.ranking import with_global_rank
+from wordprism.sources.tokenmap import replace_words
 
 # The six flag columns and the names of their classes.
 ABSTRACT_FLAGS = (
@@ -80,10 +81,13 @@ def folder_corpus(
     spark: SparkSession,
     root: str,
     longest: int | None = 5000,
-    tokens: dict[str, str] | None = None,
+    tokens: DataFrame | None = None,
     prefix: str = "BBCNews",
 ) -> DataFrame:
-    """One text per file, the folder is the class; empty and over-long texts are dropped."""
+    """One text per file, the folder is the class; empty and over-long texts are dropped.
+
+    ``tokens`` is a token map (ord, key, value).
+    """
     files = spark.read.text(f"{root.rstrip('/')}/*/*.txt", wholetext=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     folder = F.url_decode(F.replace(F.element_at(parts, -2), F.lit("+"), F.lit("%2B")))
@@ -91,23 +95,25 @@ def folder_corpus(
     rows = files.select(folder.alias("label"), stem.alias("stem"), tx.squash_newlines("value").alias("text"))
     rows = rows.where(tx.length_within("text", longest))
     rows = rows.withColumn("text_id", F.concat_ws("_", F.lit(prefix), "label", "stem"))
-    text = tx.map_text("text", tokens) if tokens else F.col("text")
+    if tokens is not None:
+        rows = replace_words(rows, "text", tokens)
     ranked = with_global_rank(rows.drop("stem"), ["text_id"], "ord")
-    return text_table(ranked, F.col("text_id"), F.col("ord"), tx.format_quotes(text), F.col("label"))
+    return text_table(ranked, F.col("text_id"), F.col("ord"), tx.format_quotes("text"), F.col("label"))
 
 
 def delimited_stories(spark: SparkSession, path: str, end: str = STORY_END, prefix: str = "TinyStories_") -> DataFrame:
-    """Stories of one text file, each closed by a line that holds only ``end``.
+    """Stories of text files, one after the other by path, each closed by a line that holds only ``end``.
 
     Lines are stripped and joined without a separator; what follows the last
     end line is dropped. The id is the line number of the story's end line.
     """
     lines = spark.read.text(path).select(
         tx.strip("value").alias("line"),
+        F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    numbered = with_global_rank(lines, ["_split", "_at"], "number").withColumn("number", F.col("number") + 1)
+    numbered = with_global_rank(lines, ["_path", "_split", "_at"], "number").withColumn("number", F.col("number") + 1)
     # The end lines split the file into stories: a line belongs to the next end line.
     # Numbering the end lines is enough to know the story of each line, and it is
     # done per block of lines so that no task sees the whole file.

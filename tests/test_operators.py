@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordprism.functions import text as tx
 from wordprism.functions.geometry import in_polygon
-from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, sample, select, stats, surrogates, topics, views
+from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, layout, sample, select, stats, surrogates, topics, views
 from wordprism.operators import tokens as tk
 from wordprism.sources import corpus, tokenmap
 from wordprism.sources.stopwords import stop_words
@@ -170,12 +170,22 @@ def test_projections(spark):
     c = x - x.mean(axis=0)
     _, s, _ = np.linalg.svd(c, full_matrices=False)
     assert np.allclose(got.std(axis=0) * math.sqrt(60), s[:2]) and abs(got.mean()) < 1e-9
-    for method in (geometry.tsne, geometry.umap):
-        placed = np.array([(r["x"], r["y"]) for r in method(df, 40).orderBy("text_id").collect()])
+    for method in (layout.tsne, layout.umap):
+        placed = np.array([(r["x"], r["y"]) for r in method(df, epochs=20).orderBy("text_id").collect()])
         assert np.isfinite(placed).all() and len(placed) == 60
         assert silhouette_by_hand(placed, [0] * 30 + [1] * 30) > 0.4
 
 
+def test_layouts_of_few_rows(spark):
+    schema = "text_id string, vec array<double>"
+    for method in (layout.tsne, layout.umap):
+        assert method(spark.createDataFrame([], schema)).count() == 0
+        assert rows(method(spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], schema)), "text_id", "x", "y") == [("a", 0.0, 0.0)]
+        same = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 2.0]), ("b", [1.0, 2.0])], schema)
+        placed = method(same, epochs=2).collect()
+        assert len(placed) == 3 and all(math.isfinite(r["x"]) and math.isfinite(r["y"]) for r in placed)
+
+
 def test_polygon(spark):
     shape = [(0, 0), (4, 0), (4, 4), (2, 2), (0, 4)]
     cases = [(1, 1, True), (2, 3, False), (2, 2, True), (4, 4, True), (0, 2, True), (5, 1, False), (3, 3, True)]

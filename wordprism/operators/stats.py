@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordprism.plans.tables import stored
+
 # The spread allowed below and above the middle half (of log10 frequency).
 LOWER_SPREAD, UPPER_SPREAD = 0.1, 1.5
 LOWEST_FREQUENCY = 3
@@ -26,32 +28,35 @@ def _frequency_bounds(frequencies: DataFrame, lowest: int) -> Column:
 
     Fields: ``n`` and ``n_inner`` distinct frequencies in all and strictly between
     the extremes, ``low`` and ``high`` the quartile bounds of log10 frequency.
-    Tokens are reduced to their histogram first; only the distinct frequencies
-    meet in the last step.
+    Tokens are reduced to their histogram first, so the quartiles are taken over
+    distinct frequencies with their numbers of tokens.
     """
-    extremes = frequency_histogram(frequencies).agg(
-        F.greatest(F.min("frequency"), F.lit(lowest)).alias("lo"),
-        F.max("frequency").alias("hi"),
-        F.collect_list(F.struct("frequency", "n_tokens")).alias("h"),
-    )
-    inner = F.filter("h", lambda x: (x["frequency"] > F.col("lo")) & (x["frequency"] < F.col("hi")))
-    rows = extremes.select("lo", "hi", F.size("h").alias("n"), F.explode_outer(inner).alias("x"))
-    rows = rows.select("lo", "hi", "n", F.log10("x.frequency").alias("v"), F.col("x.n_tokens").alias("w"))
-    summary = rows.groupBy("lo", "hi", "n").agg(
-        F.count("v").alias("n_inner"),
-        F.expr("percentile(v, array(0.25, 0.75), coalesce(w, 1))").alias("q"),
+    histogram = frequency_histogram(frequencies)
+    ends = histogram.agg(
+        F.struct(
+            F.greatest(F.min("frequency"), F.lit(lowest)).alias("lo"), F.max("frequency").alias("hi"),
+            F.count(F.lit(1)).alias("n"),
+        )
+    ).scalar()
+    lo, hi = ends["lo"], ends["hi"]
+    quartiles = histogram.where((F.col("frequency") > lo) & (F.col("frequency") < hi)).agg(
+        F.count(F.lit(1)).alias("n_inner"), F.expr("percentile(log10(frequency), array(0.25, 0.75), n_tokens)").alias("q")
     )
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    low = F.greatest(F.col("lo").cast("double"), F.pow(F.lit(10.0), q1 - LOWER_SPREAD * (q3 - q1)))
-    high = F.least(F.col("hi").cast("double"), F.pow(F.lit(10.0), q3 + UPPER_SPREAD * (q3 - q1)))
-    return summary.select(F.struct("n", "n_inner", "q", "lo", "hi", low.alias("low"), high.alias("high"))).scalar()
+    low = F.greatest(lo.cast("double"), F.pow(F.lit(10.0), q1 - LOWER_SPREAD * (q3 - q1)))
+    high = F.least(hi.cast("double"), F.pow(F.lit(10.0), q3 + UPPER_SPREAD * (q3 - q1)))
+    return quartiles.select(
+        F.struct(ends["n"].alias("n"), "n_inner", lo.alias("lo"), hi.alias("hi"), low.alias("low"), high.alias("high"))
+    ).scalar()
 
 
 def iqr_filter(frequencies: DataFrame, lowest: int = 1) -> DataFrame:
     """Tokens strictly inside the asymmetric quartile bounds of log10 frequency.
 
     ``lowest`` lifts the minimum. Nothing strictly inside gives an empty result.
+    The frequencies are written once, since bounds and result both read them.
     """
+    frequencies = stored(frequencies, "frequencies")
     bounds = _frequency_bounds(frequencies, lowest)
     inside = (F.col("frequency") > bounds["low"]) & (F.col("frequency") < bounds["high"])
     return frequencies.where((bounds["n_inner"] > 0) & inside)
@@ -62,7 +67,9 @@ def zipf_filter(frequencies: DataFrame, most: int = MOST_WORDS) -> DataFrame:
 
     The bounds apply only where at least four distinct frequencies exist, both
     before and after the extremes are trimmed; otherwise every token competes.
+    The frequencies are written once, since bounds and result both read them.
     """
+    frequencies = stored(frequencies, "frequencies")
     bounds = _frequency_bounds(frequencies, LOWEST_FREQUENCY)
     bounded = (bounds["lo"] != bounds["hi"]) & (bounds["n"] > 3) & (bounds["n_inner"] > 3)
     inside = (F.col("frequency") > bounds["low"]) & (F.col("frequency") < bounds["high"])

@@ -107,11 +107,11 @@ def share(spark, sf_dir):
     from wordprism.operators import stats
 
     rows = stored(spans(spark, sf_dir), "spans")
-    kept = stats.iqr_filter(stats.token_frequency(rows), stats.LOWEST_FREQUENCY)
-    counts = rows.join(kept, "token", "left_semi").groupBy(F.col("label").alias("class"), "token").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("token").agg(F.sum("n").alias("all"))
-    scores = counts.join(totals, "token").select("class", "token", (F.col("n") * (F.col("n") / F.col("all") - 0.5)).alias("score"))
-    return scores, rows
+    # one row per class and token before anything is joined on the token
+    counts = stored(rows.groupBy(F.col("label").alias("class"), "token").agg(F.count(F.lit(1)).alias("n")), "counts")
+    kept = stats.iqr_filter(counts.groupBy("token").agg(F.sum("n").alias("frequency")), stats.LOWEST_FREQUENCY)
+    score = F.col("n") * (F.col("n") / F.col("frequency") - 0.5)
+    return counts.join(kept, "token").select("class", "token", score.alias("score")), rows
 
 
 def links(spark, sf_dir):
@@ -151,9 +151,9 @@ cte(
 )
 
 
-def selection(spark, sf_dir):
-    """One selection in every view."""
-    found, rows = links(spark, sf_dir)
+def selection(spark, sf_dir, linked=None):
+    """One selection in every view; ``linked`` are links that are at hand already."""
+    found, rows = linked or links(spark, sf_dir)
     return select.union(
         select.as_selection(inside(spark, sf_dir), "lasso"),
         select.as_selection(select.by_class(texts(spark, sf_dir), ("de", "es", "fr")), "class"),
@@ -184,8 +184,8 @@ _FOLD = """
 cte("chosen", _FOLD + " select text_id from masks, a5 where list_contains(a, mask)")
 
 
-def chosen(spark, sf_dir):
-    rows = stored(selection(spark, sf_dir), "selection")
+def chosen(spark, sf_dir, linked=None):
+    rows = stored(selection(spark, sf_dir, linked), "selection")
     return select.intersect(rows), rows
 
 
@@ -236,7 +236,7 @@ def sel_mark_points(spark, sf_dir):
 )
 def sel_sankey_count(spark, sf_dir):
     found, rows = links(spark, sf_dir)
-    return select.link_counts(found, rows, chosen(spark, sf_dir)[0])
+    return select.link_counts(found, rows, chosen(spark, sf_dir, (found, rows))[0])
 
 
 @query("sel_clear", "select view, text_id, \"start\", \"end\" from selection where view <> 'word'")

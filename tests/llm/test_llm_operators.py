@@ -409,6 +409,39 @@ def test_substring_dedup(docs, rows, empty, shard_words):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_dedup_holds_no_hot_anchor(spark, monkeypatch):
+    """One line in every text, each time between other words: its anchor's passages are never held together."""
+    rnd = random.Random(8)
+    line = " ".join(f"line{i}" for i in range(15))
+    some = lambda n: " ".join(f"v{rnd.randrange(9)}" for _ in range(n))
+    rows = [(d, f"{some(8)} {line} {some(8)}") for d in range(1, 300)] + [(300, " ".join([line] * 50)), (-1, line[:-1] + "x")]
+    rows += [(7, rows[9][1]), (None, line)]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = substring_dedup._dealt(docs.selectExpr("doc_id", "text", "xxhash64(text) tag"), 13, 5, 60).orderBy("anchor", "part", "doc_id")
+    held, search = [], substring_dedup._covered
+
+    def spy(found, passages, *rest):
+        held.append(sum(len(p) for p in passages.to_pylist()))
+        return search(found, passages, *rest)
+
+    monkeypatch.setattr(substring_dedup, "_covered", spy)
+    list(substring_dedup._shards(13, 60)(iter(dealt.toArrow().to_batches(max_chunksize=7))))
+    assert max(held, default=0) <= 2 * 360 and dealt.where("part is not null").count()
+    first = {}
+    for d, t in rows:
+        for at in range(len(w := split(t)) - 12):
+            if d is not None:
+                first[tuple(w[at:at + 13])] = min(first.get(tuple(w[at:at + 13]), d), d)
+    want = []
+    for d, t in rows:
+        w = split(t)
+        gone = {k for at in range(len(w) - 12) if d is not None and first[tuple(w[at:at + 13])] < d for k in range(at, at + 13)}
+        want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    got = substring_dedup.dedup_substrings(docs, shard_words=60).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_wavelet_and_index():
     rnd = np.random.default_rng(2)
     symbols = rnd.integers(0, 13, 700)

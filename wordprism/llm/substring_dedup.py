@@ -17,6 +17,12 @@ WINDOW = 13
 ANCHOR = 5  # words of an anchor
 SHARD_WORDS = 400_000  # words of the passages of one index
 _NO = np.int64(np.iinfo(np.int64).max)
+_SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("end", pa.int64())])
+
+
+def _limit(shard_words: int) -> int:
+    """Bytes of the passages of one index, about as many as its words take."""
+    return shard_words * 6
 
 
 class Bits:
@@ -144,20 +150,47 @@ def _anchor_rows(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch):
-                text, _, _, value = anchors(W.find(part.column("text")), window, anchor)
+                found = W.find(part.column("text"))
+                text, first, last, value = anchors(found, window, anchor)
                 order = np.lexsort((value, text))
-                text, value = text[order], value[order]
+                text, first, last, value = text[order], first[order], last[order], value[order]
                 fresh = np.ones(len(text), dtype=bool)
                 fresh[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
+                at = np.flatnonzero(fresh)
+                size = np.add.reduceat(found.end[last + window - 1] - found.start[first], at) if len(at) else at
                 docs = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(value[fresh].view(np.int64)), pa.array(docs[text[fresh]], pa.int64())], names=["anchor", "doc_id"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(value[at].view(np.int64)), pa.array(docs[text[at]], pa.int64()), pa.array(size, pa.int64())],
+                    names=["anchor", "doc_id", "size"],
+                )
 
     return run
 
 
+def _among(values: np.ndarray, text: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which values (sorted by their text number) are in the list of their text."""
+    keep = np.zeros(len(values), dtype=bool)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if not len(flat):
+        return keep
+    begin = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    starts = np.searchsorted(text, np.arange(len(lists) + 1))
+    for i in np.flatnonzero(np.diff(begin)):
+        a, b = starts[i], starts[i + 1]
+        keep[a:b] = np.isin(values[a:b], flat[begin[i]:begin[i + 1]])
+    return keep
+
+
 def _passages(window: int, anchor: int):
-    """The passages of each text around the anchors that other documents have too."""
-    fields = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("passage", pa.binary())])
+    """What each text has around the anchors that other documents have too.
+
+    Anchors that fit an index (``anchors``): one row per passage, ``part`` null, the
+    passage as ``data``. Anchors that don't (``hot``): one row per different window of
+    the text, ``part`` its hash, the word numbers where it starts as ``data`` (int32).
+    """
+    fields = pa.schema([
+        ("anchor", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("data", pa.binary()),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,25 +198,34 @@ def _passages(window: int, anchor: int):
             for part in W.slices(batch):
                 found = W.find(part.column("text"))
                 text, first, last, value = anchors(found, window, anchor)
-                shared = part.column("anchors")
-                flat = shared.flatten().to_numpy(zero_copy_only=False)
-                sizes = np.diff(shared.offsets.to_numpy())
-                row = np.repeat(np.arange(part.num_rows), sizes)
-                # (row, anchor) pairs as one sorted key per row: rows are few, so search inside each
-                keep = np.zeros(len(value), dtype=bool)
-                starts = np.searchsorted(text, np.arange(part.num_rows + 1))
-                begin = np.searchsorted(row, np.arange(part.num_rows + 1))
                 signed = value.view(np.int64)
-                for i in range(part.num_rows):
-                    a, b = starts[i], starts[i + 1]
-                    keep[a:b] = np.isin(signed[a:b], flat[begin[i]:begin[i + 1]])
-                text, first, last, signed = text[keep], first[keep], last[keep], signed[keep]
                 docs, tags = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("tag").to_numpy(zero_copy_only=False)
+                keep = _among(signed, text, part.column("anchors"))
+                t, begin, end = text[keep], first[keep], last[keep]
                 data = found.data.tobytes()
-                passages = [data[a:b] for a, b in zip(found.start[first].tolist(), found.end[last + window - 1].tolist())]
+                passages = [data[a:b] for a, b in zip(found.start[begin].tolist(), found.end[end + window - 1].tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(signed[keep]), pa.nulls(len(t), pa.int64()), pa.array(docs[t], pa.int64()), pa.array(tags[t], pa.int64()),
+                    pa.array(begin - found.row[t]), pa.array(passages, pa.binary()),
+                ], schema=fields)
+                keep = _among(signed, text, part.column("hot"))
+                if not keep.any():
+                    continue
+                count = last[keep] - first[keep] + 1
+                at = W.ragged(first[keep], count)
+                t, key = np.repeat(text[keep], count), np.repeat(signed[keep], count)
+                name = W.grams(found.hash, window)[at].view(np.int64)
+                order = np.lexsort((at, name, key, t))
+                at, t, key, name = at[order], t[order], key[order], name[order]
+                fresh = np.ones(len(at), dtype=bool)
+                fresh[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+                head = np.flatnonzero(fresh)
+                place = (at - found.row[t]).astype("<i4")
+                offsets = np.append(head, len(at)).astype(np.int32) * np.int32(4)
+                places = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(place)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(signed), pa.array(docs[text], pa.int64()), pa.array(tags[text], pa.int64()),
-                    pa.array(first - found.row[text]), pa.array(passages, pa.binary()),
+                    pa.array(key[head]), pa.array(name[head]), pa.array(docs[t[head]], pa.int64()), pa.array(tags[t[head]], pa.int64()),
+                    pa.array(place[head].astype(np.int64)), places,
                 ], schema=fields)
 
     return run
@@ -230,26 +272,55 @@ def _covered(docs: np.ndarray, passages: pa.Array, window: int, shard_words: int
     return row[begin], place[begin], place[last] + window
 
 
+def _later(batch: pa.RecordBatch, before: tuple | None, window: int) -> tuple[pa.RecordBatch, tuple]:
+    """Spans of windows that a smaller document has; rows are sorted by anchor, part, doc_id.
+
+    ``before`` is the anchor, part and smallest document of the last row of the batch before.
+    """
+    anchor, name, docs, tags = (batch.column(c).to_numpy() for c in ("anchor", "part", "doc_id", "tag"))
+    fresh = np.ones(len(docs), dtype=bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1])
+    head = np.flatnonzero(fresh)
+    least = docs[head].copy()
+    if before is not None and (anchor[0], name[0]) == before[:2]:
+        least[0] = before[2]
+    hit = np.flatnonzero(docs > np.repeat(least, np.diff(np.append(head, len(docs)))))
+    data = batch.column("data").take(pa.array(hit))
+    count = pc.binary_length(data).to_numpy(zero_copy_only=False) // 4
+    place = np.frombuffer(b"".join(data.to_pylist()), dtype="<i4").astype(np.int64)
+    row = np.repeat(hit, count)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(docs[row]), pa.array(tags[row]), pa.array(place), pa.array(place + window)], schema=_SPANS
+    ), (anchor[-1], name[-1], least[-1])
+
+
 def _shards(window: int, shard_words: int):
-    """Cut a stream that is sorted by anchor into shards, index each and search it."""
-    fields = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("end", pa.int64())])
-    limit = shard_words * 6  # bytes, about as many as the words take
+    """Cut a stream that is sorted by anchor into shards, index each and search it.
+
+    Windows of hot anchors are compared as they stream by; nothing of them is held.
+    """
+    limit = _limit(shard_words)
 
     def search(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         docs, tags, first = (table.column(c).to_numpy() for c in ("doc_id", "tag", "first"))
-        passages = table.column("passage")
+        passages = table.column("data")
         passages = passages.chunk(0) if isinstance(passages, pa.ChunkedArray) else passages
         row, begin, end = _covered(docs, passages, window, shard_words)
-        return pa.RecordBatch.from_arrays([pa.array(docs[row]), pa.array(tags[row]), pa.array(first[row] + begin), pa.array(first[row] + end)], schema=fields)
+        return pa.RecordBatch.from_arrays([pa.array(docs[row]), pa.array(tags[row]), pa.array(first[row] + begin), pa.array(first[row] + end)], schema=_SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        size, last, before = 0, None, None
         for batch in batches:
+            windows = batch.filter(batch.column("part").is_valid())
+            if windows.num_rows:
+                spans, before = _later(windows, before, window)
+                yield spans
+            batch = batch.filter(batch.column("part").is_null())
             anchor = batch.column("anchor").to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else []
-            upto = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("passage")).to_numpy(zero_copy_only=False))]) if len(anchor) else [0]
+            upto = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("data")).to_numpy(zero_copy_only=False))]) if len(anchor) else [0]
             begin = 0
             for edge in edges:
                 if (edge or anchor[0] != last) and size + int(upto[edge] - upto[begin]) >= limit:
@@ -266,28 +337,40 @@ def _shards(window: int, shard_words: int):
     return run
 
 
+def _dealt(docs: DataFrame, window: int, anchor: int, shard_words: int) -> DataFrame:
+    """The passages and windows of ``repeated_spans``, dealt and sorted for the shards."""
+    named = docs.where("doc_id is not null").select("doc_id", "text")
+    rows = named.mapInArrow(_anchor_rows(window, anchor), "anchor long, doc_id long, size long")
+    same = Window.partitionBy("anchor")
+    near = rows.withColumn("least", F.min("doc_id").over(same)).withColumn("most", F.max("doc_id").over(same)).withColumn("total", F.sum("size").over(same))
+    fits = F.col("total") <= _limit(shard_words)
+    shared = near.where("least < most").groupBy("doc_id").agg(
+        F.collect_set(F.when(fits, F.col("anchor"))).alias("anchors"), F.collect_set(F.when(~fits, F.col("anchor"))).alias("hot")
+    )
+    marked = docs.join(shared, "doc_id", "left").select("doc_id", "text", "tag", "anchors", "hot")
+    schema = "anchor long, part long, doc_id long, tag long, first long, data binary"
+    passages = marked.mapInArrow(_passages(window, anchor), schema)
+    return passages.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc_id")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``doc_id, tag, first, end``: word spans covered by windows that start in a smaller doc_id; spans may overlap.
 
     ``docs`` has doc_id, text, tag (any number that tells rows with one doc_id apart).
 
     1. Each run of windows with the same anchor makes one row (anchor, doc_id); an
-       anchor with a second document next to it in sorted order is shared.
+       anchor that two documents have is shared.
     2. Shared anchors go back to their documents, which send the passages around
        them to the anchor's shard. Equal windows have equal anchors, so a window
        meets all its copies there.
     3. A shard indexes its distinct passages (with their smallest document) and
        searches every window of every passage.
+    4. An anchor whose passages together exceed an index is hot. Its windows are dealt
+       one by one by their own hash, sorted by document, and compared with the first
+       of their kind as they stream by. So no task holds more than two indexes' worth of
+       passages, and the work on a hot anchor is linear in its windows.
     """
-    named = docs.where("doc_id is not null").select("doc_id", "text")
-    rows = named.mapInArrow(_anchor_rows(window, anchor), "anchor long, doc_id long")
-    by_anchor = Window.partitionBy("anchor").orderBy("doc_id")
-    near = rows.withColumn("before", F.lag("doc_id").over(by_anchor)).withColumn("after", F.lead("doc_id").over(by_anchor))
-    shared = near.where("before is not null or after is not null").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    marked = docs.join(shared, "doc_id", "left").select("doc_id", "text", "tag", "anchors")
-    passages = marked.mapInArrow(_passages(window, anchor), "anchor long, doc_id long, tag long, first long, passage binary")
-    dealt = passages.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(_shards(window, shard_words), "doc_id long, tag long, first long, end long")
+    return _dealt(docs, window, anchor, shard_words).mapInArrow(_shards(window, shard_words), "doc_id long, tag long, first long, end long")
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,15 +379,20 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = W.find(part.column("text"), hashed=False)
             data = found.data.tobytes()
             removed, digests, texts = [], [], []
-            spans, tags = part.column("spans").to_pylist(), part.column("tag").to_pylist()
-            for i, (a, b) in enumerate(zip(found.row[:-1].tolist(), found.row[1:].tolist())):
-                gone = np.zeros(b - a, dtype=bool)
-                for span in spans[i] or ():
-                    if span["tag"] == tags[i]:
-                        gone[span["first"]:span["end"]] = True
-                keep = np.flatnonzero(~gone) + a
+            spans, tags = part.column("spans"), part.column("tag").to_numpy(zero_copy_only=False)
+            flat = spans.flatten()
+            of = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+            tag, first, end = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("tag", "first", "end"))
+            own = tag == tags[of]
+            of, first, end = of[own], first[own], end[own]
+            change = np.zeros(int(found.row[-1]) + 1, dtype=np.int64)
+            np.add.at(change, found.row[of] + first, 1)
+            np.add.at(change, found.row[of] + end, -1)
+            gone = np.cumsum(change[:-1]) > 0
+            for a, b in zip(found.row[:-1].tolist(), found.row[1:].tolist()):
+                keep = np.flatnonzero(~gone[a:b]) + a
                 kept = b" ".join([data[x:y] for x, y in zip(found.start[keep].tolist(), found.end[keep].tolist())])
-                removed.append(int(gone.sum()))
+                removed.append(int(gone[a:b].sum()))
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept.decode("utf-8"))
             yield pa.RecordBatch.from_arrays([

@@ -1,5 +1,6 @@
 """Hand cases, edge cases and invariants on small literal tables."""
 
+import functools
 import itertools
 import math
 
@@ -340,6 +341,30 @@ def test_svm_separates(spark):
     assert stats.report_summary(report).first()["f1"] == 1.0
 
 
+def test_queries_predict_and_explain_with_the_svm(spark, monkeypatch):
+    """k0 separates the classes; k1 moves the class centroids but says less."""
+    from wordprism.queries import explain as queries
+    from wordprism.registry import QUERIES
+
+    points = [("a", 0.0, 0.0)] * 30 + [("a", 0.0, 1.0)] * 10 + [("b", 0.4, 1.0)] * 30 + [("b", 0.4, 0.0)] * 10
+    points += [("a", 0.0, 0.0), ("a", 0.0, 1.0), ("b", 0.4, 1.0), ("b", 0.4, 0.0)]
+    values = spark.createDataFrame([(f"t_{i}", k, v) for i, p in enumerate(points) for k, v in zip(("k0", "k1"), p[1:]) if v], "text_id string, token string, value double")
+    split = spark.createDataFrame([(f"t_{i}", p[0], i, "train" if i < 80 else "test") for i, p in enumerate(points)], "text_id string, label string, ord long, part string")
+    s = queries.Setting(values.select("token").distinct(), None, split, None, values)
+    model = queries.svm_model(s)
+    monkeypatch.setattr(queries, "setting", lambda *_: s)
+    monkeypatch.setattr(queries, "svm_model", lambda _: model)  # fitted once
+    assert rows(QUERIES["ml_predict"](spark, "").where("label <> predicted"), "text_id") == [("t_81",), ("t_83",)]
+    assert QUERIES["ml_svm_predict"](spark, "").where("label = predicted and predicted_prob > 0.5").count() == 4
+    assert rows(QUERIES["agg_svm_class_report"](spark, ""), "class", "f1", "support") == [("a", 1.0, 2), ("b", 1.0, 2)]
+    assert QUERIES["agg_svm_report_summary"](spark, "").first()["accuracy"] == 1.0
+    phi = {(r["text_id"], r["token"]): r["phi"] for r in QUERIES["ml_shap"](spark, "").collect()}
+    assert phi["t_81", "k0"] > abs(phi["t_81", "k1"]) and phi["t_83", "k0"] > abs(phi["t_83", "k1"])
+    monkeypatch.setattr(surrogates, "lime", functools.partial(surrogates.lime, samples=500))
+    scores = {(r["method"], r["class"], r["token"]): r["score"] for r in QUERIES["snk_svm_explanation"](spark, "").collect()}
+    assert len(scores) == 8 and all(scores[m, c, "k0"] > scores[m, c, "k1"] for m in ("LIME", "SHAP") for c in "ab")
+
+
 def test_reports_with_a_class_nobody_called(spark):
     p = spark.createDataFrame([("a", "a"), ("b", "a"), ("a", "a")], "label string, predicted string")
     report = {r["class"]: r for r in stats.class_report(p, spark.createDataFrame([("a",), ("b",)], "class string")).collect()}

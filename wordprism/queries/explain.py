@@ -133,7 +133,19 @@ def ml_linear_classifier(spark, sf_dir):
 
 def svm_model(s: Setting) -> classify.LinearModel:
     numbered = stored(numbered_tokens(s.tokens), "vocab")
-    return classify.fit_svm(s.values, s.train, numbered)
+    model = classify.fit_svm(s.values, s.train, numbered)
+    return classify.LinearModel(stored(model.coef, "coef"), stored(model.classes, "classes"))
+
+
+def svm_predictions(s: Setting) -> tuple[classify.LinearModel, DataFrame]:
+    model = svm_model(s)
+    return model, stored(classify.predict(s.values, s.test, model), "predictions")
+
+
+@query("ml_svm_predict")
+def ml_svm_predict(spark, sf_dir):
+    """Class and probability of the test rows by the SVM; ``ml_predict`` has them by the class centroids."""
+    return svm_predictions(setting(spark, sf_dir))[1]
 
 
 def numbered_tokens(tokens: DataFrame) -> DataFrame:
@@ -178,7 +190,20 @@ def agg_report_summary(spark, sf_dir):
     return _rounded(stats.report_summary(report), _MEASURES)
 
 
+@query("agg_svm_class_report")
+def agg_svm_class_report(spark, sf_dir):
+    model, predictions = svm_predictions(setting(spark, sf_dir))
+    return stats.class_report(predictions, model.classes)
+
+
+@query("agg_svm_report_summary")
+def agg_svm_report_summary(spark, sf_dir):
+    model, predictions = svm_predictions(setting(spark, sf_dir))
+    return stats.report_summary(stats.class_report(predictions, model.classes))
+
+
 def explained(spark, sf_dir):
+    """The class centroids as a linear model, which SQL can state, with its predictions and attributions."""
     s = setting(spark, sf_dir)
     model = centroid_model(s)
     predictions = stored(classify.predict(s.values, s.test, model), "predictions")
@@ -193,13 +218,15 @@ def ml_shap_linear(spark, sf_dir):
 
 @query("ml_lime")
 def ml_lime(spark, sf_dir):
-    s, model, predictions, _ = explained(spark, sf_dir)
+    s = setting(spark, sf_dir)
+    model, predictions = svm_predictions(s)
     return surrogates.lime(s.values, s.train, predictions, model)
 
 
 @query("ml_shap")
 def ml_shap(spark, sf_dir):
-    s, model, predictions, _ = explained(spark, sf_dir)
+    s = setting(spark, sf_dir)
+    model, predictions = svm_predictions(s)
     return surrogates.kernel_shap(s.values, predictions, model)
 
 
@@ -309,3 +336,24 @@ def snk_explanation(spark, sf_dir):
     )
     rows = cat.scan(spark, root, "explanation", dataset="documents", model="hashed", layer=0, method="SHAP")
     return _rounded(rows.select("method", "class", "token", "score"), ("score",))
+
+
+@query("snk_svm_explanation")
+def snk_svm_explanation(spark, sf_dir):
+    """LIME and SHAP of the SVM with its class report and infidelities, written and read back by method."""
+    s = setting(spark, sf_dir)
+    model, predictions = svm_predictions(s)
+    root = scratch_path(spark, "artifacts")
+    found = {
+        "LIME": surrogates.lime(s.values, s.train, predictions, model),
+        "SHAP": surrogates.kernel_shap(s.values, predictions, model),
+    }
+    for name, phi in found.items():
+        phi, method = stored(phi, "phi"), F.lit(name).alias("method")
+        cat.save_explanation(
+            explain.class_attribution(phi, predictions, model).select(method, "class", "token", "score"),
+            stats.class_report(predictions, model.classes).select(method, "class", "precision", "recall", "f1", "accuracy"),
+            explain.infidelity(s.values, predictions, phi, model).select(method, "text_id", "infidelity"),
+            root, "documents", "hashed", 0,
+        )
+    return cat.scan(spark, root, "explanation", dataset="documents", model="hashed", layer=0).select("method", "class", "token", "score")

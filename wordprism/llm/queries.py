@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordprism.llm import block_neighbours, decontaminate, ngram_join, quality_gam, separator_scan, shard_tree, source_mix, substring_dedup, token_files, url_filter
+from wordprism.llm import block_neighbours, decontaminate, importance_resample, minhash_dedup, ngram_join, quality_gam, separator_scan, shard_tree, source_mix, substring_dedup, token_files, url_filter
 from wordprism.registry import query
 
 
@@ -178,3 +178,53 @@ select doc_id, n::bigint as n_words, len(gone)::bigint as n_removed, sha256(coal
 @query("op10_substring_dedup", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP12_SQL = """
+recursive with t as (
+  select 'd' as kind, doc_id, text from documents union all select 'b', null, text from benchmark
+), w as materialized (
+  select kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as w,
+    row_number() over () as r from t
+), f as materialized (
+  select kind, r, unnest(list_concat(w, case when len(w) < 2 then [] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as f from w
+), entry as materialized (
+  select i, list_reduce(list_concat([i], range(8)), lambda c, x: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)::bigint as v
+  from (select unnest(range(256)) as i)
+), words as materialized (select f, hex(encode(f)) as h from (select distinct f from f)),
+step as (
+  select f, h, 0 as j, 4294967295::bigint as c from words
+  union all
+  select f, h, j + 1, xor(c // 256, v) from step join entry on i = xor(c % 256, ('0x' || substr(h, 2 * j + 1, 2))::bigint) where 2 * j < length(h)
+), code as materialized (select f, xor(c, 4294967295) % 10000 as bucket from step where 2 * j = length(h)),
+n as materialized (
+  select bucket, count(*) filter (kind = 'd') as s, count(*) filter (kind = 'b') as t from f join code using (f) group by bucket
+), g as materialized (
+  select bucket, floor(1000 * ln(((t + 1) * (sum(t_s) + 10000))::double / ((s + 1) * (sum(t_t) + 10000))::double))::bigint as gain
+  from n, (select sum(s)::bigint as t_s, sum(t)::bigint as t_t from n) group by bucket, s, t
+), d as (
+  select r, count(*) as n_features, sum(gain) as total from f join code using (f) join g using (bucket) where kind = 'd' group by r
+), sc as (
+  select doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(floor(total::double / n_features), 0)::bigint as weight,
+    ('0x' || substr(sha256('7:' || doc_id::varchar), 1, 8))::bigint as h
+  from w left join d using (r) where kind = 'd'
+), o as (select doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint as score from sc),
+k as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) filter (n_words >= 20) over () as wide from o)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 25 * wide // 100 then place end as rank from k
+"""
+
+
+@query("op12_importance_resample", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = OP3_SQL.replace("len(w) < 3", "len(w) < 5").replace("range(1, len(w) - 1), lambda i: w[i:i + 2]", "range(1, len(w) - 3), lambda i: w[i:i + 4]")
+OP13_SQL = OP13_SQL.replace(">= 90 *", ">= 85 *").replace(
+    "coalesce(least(m.c, g.id), g.id, s.doc_id) as component_id", "coalesce(least(m.c, g.id), g.id, s.doc_id) as component_id, s.doc_id = coalesce(least(m.c, g.id), g.id, s.doc_id) as kept"
+)
+
+
+@query("op13_minhash_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))

@@ -26,6 +26,9 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
@@ -135,3 +138,16 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     before = np.cumsum(count) - count
     return np.arange(total) - np.repeat(before - start, count)
+
+
+def joined(found: Words, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words as one run of bytes, a single space behind each: the bytes, and each word's start and end in them.
+
+    Consecutive words of a text, joined by one space, are one stretch of these bytes.
+    """
+    length = found.end - found.start
+    start = np.cumsum(length + 1) - (length + 1)
+    data = np.full(int((length + 1).sum()), 0x20, dtype=np.uint8)
+    letters = found.data[ragged(found.start, length)]
+    data[ragged(start, length)] = LOWERED[letters] if lower else letters
+    return data, start, start + length

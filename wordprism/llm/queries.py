@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordprism.llm import block_neighbours, decontaminate, importance_resample, minhash_dedup, ngram_join, quality_gam, separator_scan, shard_tree, source_mix, substring_dedup, token_files, url_filter
+from wordprism.llm import block_neighbours, decontaminate, importance_resample, minhash_dedup, ngram_join, phrase_mining, quality_gam, separator_scan, shard_tree, source_mix, substring_dedup, token_files, url_filter
 from wordprism.registry import query
 
 
@@ -180,6 +180,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
 
 
+OP11_SQL = """
+with p as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as p from documents
+), w as materialized (select lang, regexp_extract_all(p, '[^\\x20\\x09]+') as w from p),
+n as (select lang, sum(len(w))::bigint as n from w group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from w, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k),
+f as materialized (select lang, k, phrase, count(*)::bigint as f, string_split(phrase, ' ') as w from g group by lang, k, phrase having count(*) >= 30),
+c as materialized (select lang, k, phrase, f as a, w from f where k > 1),
+cut as (select lang, phrase, a, w, k, unnest(range(1, k)) as cut from c),
+s as (
+  select cut.lang, cut.phrase, a, cut, x.f as l, y.f as r, ((2000000::hugeint * a) // (x.f + y.f))::bigint as score
+  from cut join f x on x.lang = cut.lang and x.phrase = array_to_string(cut.w[1:cut], ' ')
+    join f y on y.lang = cut.lang and y.phrase = array_to_string(cut.w[cut + 1:], ' ')
+), weakest as (select lang, phrase, a, l, r, score from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+covered_by as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(a) as f
+  from c, (select unnest([2, 3]) as m) ms, (select unnest([1, 2, 3]) as i) starts where m < k and i + m - 1 <= k group by 1, 2
+), standing as (select weakest.* from weakest left join covered_by i on i.lang = weakest.lang and i.phrase = weakest.phrase where i.f is null or 100 * i.f < 80 * a),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from standing)
+select o.lang, rank, phrase, a, l, r, n, score from o join n on n.lang = o.lang where rank <= 2000
+"""
+
+
+@query("op11_phrase_mining", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 OP12_SQL = """
 recursive with t as (
   select 'd' as kind, doc_id, text from documents union all select 'b', null, text from benchmark

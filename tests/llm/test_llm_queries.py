@@ -11,7 +11,7 @@ present = pytest.mark.skipif(not os.path.isdir(f"{oracle_check.ROOT}/{SF}"), rea
 
 
 @present
-@pytest.mark.parametrize("name", ["op2_block_neighbours", "op3_ngram_join", "op5_source_mix", "op6_url_filter", "op7_decontaminate", "op10_substring_dedup"])
+@pytest.mark.parametrize("name", ["op2_block_neighbours", "op3_ngram_join", "op5_source_mix", "op6_url_filter", "op7_decontaminate", "op10_substring_dedup", "op11_phrase_mining", "op12_importance_resample", "op13_minhash_dedup"])
 def test_equals_sql(spark, name):
     assert oracle_check.compare(spark, oracle_check.database(SF), name, SF) is None
 

@@ -20,6 +20,8 @@ PERCENT = 85
 BANDS, ROWS = 38, 5  # a pair of similarity 0.85 shares no band with probability (1 - 0.85**5)**38 = 2e-10
 BITS = 2  # low bits kept of each minimum
 LOST = 1e-9  # probability with which the estimate may turn down a pair right at the threshold
+PARITY = 1024  # bits that count the members of a set modulo 2, for an exact bound on the difference of two sets
+FIRST_BANDS = 6  # bands whose links are joined up before the other bands are looked at
 CROWD = 512  # classes of one band that one task compares with the rest of it
 
 _NODE = "xxhash64(fp1, fp2, n)"  # number of a class
@@ -64,6 +66,14 @@ def packed(least: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(planes.reshape(rows, -1), axis=1, bitorder="little").view(np.uint64)
 
 
+def parities(sets: list[np.ndarray], bits: int = PARITY) -> np.ndarray:
+    """Per set, whether the number of its members in each of ``bits`` hash buckets is odd."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    spot = (np.concatenate(sets) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(row * bits + spot, minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(bool).reshape(len(sets), bits), axis=1, bitorder="little").view(np.uint64)
+
+
 def _band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     keys = np.empty((len(least), bands), dtype=np.uint64)
     for band in range(bands):
@@ -87,7 +97,7 @@ def _fingerprints(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _sign(shingle: int, bands: int, rows: int, bits: int):
-    names = ["doc_id", "n", "fp1", "fp2", "bits", "keys"]
+    names = ["doc_id", "n", "fp1", "fp2", "bits", "odd", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +109,8 @@ def _sign(shingle: int, bands: int, rows: int, bits: int):
                 if len(full):
                     least[full] = minima([sets[i] for i in full], bands * rows)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(size), *_fingerprints(sets), _lists(packed(least, bits)), _lists(_band_keys(least, bands, rows)),
+                    part.column("doc_id"), pa.array(size), *_fingerprints(sets), _lists(packed(least, bits)), _lists(parities(sets)),
+                    _lists(_band_keys(least, bands, rows)),
                 ], names=names)
 
     return run
@@ -148,10 +159,16 @@ def estimate(matched: Column, n: int, bits: int) -> Column:
 
 
 def _alike(a: str, b: str, percent: int, n: int, bits: int) -> Column:
-    """Length filter, then the estimate, for two ``struct(node, n, bits)``."""
+    """Length filter, estimate and parity bound for two ``struct(node, n, bits, odd)``.
+
+    Two sets differ in at least as many members as their parities differ in bits.
+    """
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     enough = matches(F.col(f"{a}.bits"), F.col(f"{b}.bits"), n, bits) >= F.lit(least_matches(n, bits, percent))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & enough
+    words = range(1, PARITY // 64 + 1)
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.element_at(f"{a}.odd", j).bitwiseXOR(F.element_at(f"{b}.odd", j))) for j in words))
+    few = (100 + percent) * apart <= (100 - percent) * (na + nb)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & enough & few
 
 
 def _pairs(a: str, b: str) -> list[Column]:
@@ -175,12 +192,15 @@ def near_duplicates(
 
     1. Equal sets are one class. A class carries ``bands`` band keys and the packed
        low bits of its bands * rows minima; the minima themselves are dropped.
-    2. Star pass: in each band's bucket every class meets the smallest and the
-       largest class. What passes length and estimate is verified on the whole sets.
-    3. Across pass: in buckets that still hold several components, classes of
-       different components meet. A large bucket is dealt to blocks of about
-       ``CROWD`` classes, each of which meets the bucket in a task of its own.
-       Pairs within a component can't change it and are not looked at.
+    2. Star pass: every class meets the class that is most often the smallest, and
+       the one most often the largest, in its bands' buckets. What passes length,
+       estimate and parity is verified on the whole sets. Large groups of close
+       copies fall into components here, with two pairs a class.
+    3. Across pass, for the first bands and then for the others: in buckets that still
+       hold several components, all classes of different components meet. A large
+       bucket is dealt to blocks of about ``CROWD`` classes, each of which meets the
+       bucket in a task of its own. Pairs within a component can't change it and
+       are not looked at.
 
     A linking pair is missed with a probability of about 1e-9 (no common band, or an
     estimate in the far tail). Null or wordless texts: 0 shingles, a component of
@@ -192,21 +212,22 @@ def near_duplicates(
     n = bands * rows
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(
-        docs.mapInArrow(_sign(shingle, bands, rows, bits), "doc_id long, n long, fp1 long, fp2 long, bits array<long>, keys array<long>"), "signatures"
+        docs.mapInArrow(_sign(shingle, bands, rows, bits), "doc_id long, n long, fp1 long, fp2 long, bits array<long>, odd array<long>, keys array<long>"), "signatures"
     ).withColumn("node", F.expr(_NODE))
     named = signed.where("n > 0")
-    first = F.any_value(F.struct("n", "bits", "keys"))  # the same in every row of a class
+    first = F.any_value(F.struct("n", "bits", "odd", "keys"))  # the same in every row of a class
     classes = stored(named.groupBy("node").agg(F.min("doc_id").alias("name"), first.alias("c")).select("node", "name", "c.*"), "classes")
-    places = classes.select("node", F.explode("keys").alias("key"))
+    places = classes.select("node", F.posexplode("keys").alias("band", "key"))
     ends = places.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     met = stored(places.join(ends, "key"), "meetings")
-    card = classes.select("node", F.struct("node", "n", "bits").alias("card"))
+    card = classes.select("node", F.struct("node", "n", "bits", "odd").alias("card"))
     by_id = lambda name: card.select(F.col("node").alias(name), F.col("card").alias(f"card_{name}"))
 
-    star = met.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).where("node != end")
+    star = met.select("node", F.posexplode(F.array("low", "high")).alias("side", "end")).where("node != end")
+    star = star.groupBy("node", "side", "end").agg(F.count(F.lit(1)).alias("shared"))
+    star = star.groupBy("node", "side").agg(F.max(F.struct("shared", "end")).alias("best")).select("node", "best.end")
     star = star.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
     star = star.join(by_id("a"), "a").join(by_id("b"), "b").where(_alike("card_a", "card_b", percent, n, bits)).select("a", "b")
-    star = stored(star, "star")
 
     names = classes.select("node", "name")
 
@@ -219,25 +240,29 @@ def near_duplicates(
         return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("items").alias("items"))
 
     ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(sets_of(stored(ends_of(star), "wanted")), "sets")
-    links = stored(_verified(star, sets, percent), "links")
-    tops = stored(components(links), "components")
-
-    placed = met.join(tops, "node", "left").withColumn("c", F.coalesce("component", "node")).select("key", "node", "c", "size")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    rest = placed.join(open_keys, "key", "left_semi").join(card, "node")
-    blocks = F.ceil(F.col("size") / CROWD).cast("int")
-    rest = stored(rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("node", "size"), "open")
-    mine = rest.select("key", "block", F.col("card").alias("x"), F.col("c").alias("cx"))
-    other = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("card").alias("y"), F.col("c").alias("cy"))
-    across = mine.join(other, ["key", "block"]).where((F.col("x.node") < F.col("y.node")) & (F.col("cx") != F.col("cy")) & _alike("x", "y", percent, n, bits))
-    across = stored(across.select(*_pairs("x", "y")).distinct().join(star, ["a", "b"], "left_anti"), "across")
-    wanted = stored(ends_of(across).join(sets.select("node"), "node", "left_anti"), "wanted")
-    more = _verified(across, sets.unionByName(sets_of(wanted)), percent)
-    chains = tops.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    groups = components(chains.unionByName(more))
-
-    placed = names.join(groups, "node", "left").select("node", "name", F.coalesce("component", "node").alias("g"))
+    sets = stored(sets_of(stored(ends_of(star := stored(star, "star")), "wanted")), "sets")
+    tops = stored(components(stored(_verified(star, sets, percent), "links")), "components")
+    tested = star
+    for low, high in ((0, FIRST_BANDS), (FIRST_BANDS, bands)):
+        placed = met.where(F.col("band").between(low, high - 1)).join(tops, "node", "left")
+        placed = placed.select("key", "node", F.coalesce("component", "node").alias("c"), "size")
+        open_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
+        rest = placed.join(open_keys, "key", "left_semi").join(card, "node")
+        blocks = F.ceil(F.col("size") / CROWD).cast("int")
+        rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("node", "size")
+        rest = stored(rest, "open")
+        mine = rest.select("key", "block", F.col("card").alias("x"), F.col("c").alias("cx"))
+        other = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("card").alias("y"), F.col("c").alias("cy"))
+        meet = (F.col("x.node") < F.col("y.node")) & (F.col("cx") != F.col("cy")) & _alike("x", "y", percent, n, bits)
+        across = mine.join(other, ["key", "block"]).where(meet).select(*_pairs("x", "y")).distinct()
+        across = stored(across.join(tested, ["a", "b"], "left_anti"), "across")
+        wanted = stored(ends_of(across).join(sets.select("node"), "node", "left_anti"), "wanted")
+        sets = sets.unionByName(stored(sets_of(wanted), "sets"))
+        chains = tops.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        tops = stored(components(chains.unionByName(_verified(across, sets, percent))), "components")
+        tested = tested.unionByName(across)
+
+    placed = names.join(tops, "node", "left").select("node", "name", F.coalesce("component", "node").alias("g"))
     least = placed.groupBy("g").agg(F.min("name").alias("component_id"))
     found = placed.join(least, "g").select("node", "component_id")
     out = named.select("doc_id", F.col("n").alias("n_shingles"), "node").join(found, "node").drop("node")

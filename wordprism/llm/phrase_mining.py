@@ -27,11 +27,10 @@ COVERED = 80  # percent of a candidate's occurrences inside a longer one that dr
 TOP = 2000  # phrases reported per language
 FACTOR = 2_000_000  # of the score
 NO_LANGUAGE = "und"
-COUNTERS = 1 << 19  # counters with which the summary of a hash partition starts
+COUNTERS = 1 << 20  # of a hash partition's summary: 16 MB
 BUFFER = 3 << 20  # n-grams that a task gathers into one set of summaries
 MOST_BITS = 1 << 27  # of a filter of survivors: 16 MB, whatever the corpus
 _COUNT_BYTES = 6 << 20  # bytes of text whose phrases are counted together
-_WORD_BYTES = 6  # assumed for the number of hash partitions; a wrong guess only changes their size
 _SALTS = 64
 _STEP = np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C17)  # sets lengths apart
 
@@ -165,10 +164,11 @@ def _summaries(level: int, longest: int, parts: int, filters):
 class Summary:
     """Misra-Gries counters of one hash partition.
 
-    ``taken`` is what all decrements together may have taken from one counter. It
-    stays below the threshold, so that a frequent n-gram always keeps a counter:
-    where one more decrement would reach it, the capacity doubles instead. That
-    cannot happen once the capacity exceeds mass / threshold.
+    ``taken`` is what all decrements together may have taken from one counter: at
+    most mass / (capacity + 1). With a capacity above mass / threshold it stays below
+    the threshold, so that every frequent n-gram keeps a counter. Should a
+    partition get more mass than planned, the capacity doubles where a decrement
+    would reach the threshold: memory grows, nothing is lost.
     """
 
     def __init__(self, threshold: int, capacity: int):
@@ -264,15 +264,17 @@ def _counted(longest: int, filters):
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, counters: int = COUNTERS) -> DataFrame:
     """``lang, phrase, k, f``: runs of 1 to ``longest`` words with f >= ``least``, and per language its number of words (k = 0).
 
-    n-grams are dealt to hash partitions in a number that follows the text, so that a
-    partition's summary needs about ``counters`` counters. Filters of the survivors
-    have a bounded size; past it they let more through to the exact count, which
-    alone decides.
+    n-grams are dealt to hash partitions. Every word but the last of a text has a byte
+    behind it, so bytes bound the mass; partitions are as many as make ``counters``
+    twice the mean mass / least. Very large corpora take more ``counters`` rather
+    than millions of partitions. Filters of the survivors have a bounded size; past it
+    they let more through to the exact count, which alone decides.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), "text")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (_WORD_BYTES * least * counters)))
+    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    mass = size // 2 * max(longest - 2, 1)  # of the level with the most n-grams
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * mass // (least * counters)))
     filters: list[Filter] = []
     for level in range(1, min(longest, 3) + 1):
         shared = spark.sparkContext.broadcast(filters)

@@ -103,7 +103,7 @@ def running_crcs(data: np.ndarray) -> np.ndarray:
 def feature_crcs(texts: pa.Array, longest: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Words per text, and for each length up to ``longest`` the CRCs of all n-grams, text by text."""
     found = W.find(texts, W.ALNUM, lower=True, hashed=False)
-    data, start, end = W.joined(found)
+    data, start, end = W.joined(found, W.ALNUM)
     running = running_crcs(data)
     before, after, doc = running[start], running[end], found.doc()
     out = []

@@ -30,7 +30,6 @@ NO_LANGUAGE = "und"
 COUNTERS = 1 << 20  # of a hash partition's summary: 16 MB
 BUFFER = 3 << 20  # n-grams that a task gathers into one set of summaries
 MOST_BITS = 1 << 27  # of a filter of survivors: 16 MB, whatever the corpus
-_COUNT_BYTES = 6 << 20  # bytes of text whose phrases are counted together
 _SALTS = 64
 _STEP = np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C17)  # sets lengths apart
 
@@ -232,9 +231,9 @@ def _counted(longest: int, filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = filters.value
         for batch in batches:
-            for part in W.slices(batch, limit=_COUNT_BYTES):
+            for part in W.slices(batch):
                 text = read(part)
-                data, start, end = W.joined(text.found)
+                data, start, end = W.joined(text.found, WORD)
                 doc = text.found.doc()
                 firsts, sizes, times = [], [], []
                 for k in range(1, longest + 1):

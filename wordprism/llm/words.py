@@ -140,14 +140,18 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(before - start, count)
 
 
-def joined(found: Words, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined(found: Words, word: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words as one run of bytes, a single space behind each: the bytes, and each word's start and end in them.
 
     Consecutive words of a text, joined by one space, are one stretch of these bytes.
+    ``word`` is the byte class by which the words were found.
     """
     length = found.end - found.start
     start = np.cumsum(length + 1) - (length + 1)
-    data = np.full(int((length + 1).sum()), 0x20, dtype=np.uint8)
-    letters = found.data[ragged(found.start, length)]
-    data[ragged(start, length)] = LOWERED[letters] if lower else letters
-    return data, start, start + length
+    end = start + length
+    data = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, dtype=np.uint8)
+    letter = np.ones(len(data), dtype=bool)
+    letter[end] = False
+    letters = found.data[word[found.data]]
+    data[letter] = LOWERED[letters] if lower else letters
+    return data, start, end

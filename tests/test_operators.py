@@ -1,8 +1,8 @@
 """Hand cases, edge cases and invariants on small literal tables."""
 
 import functools
+import hashlib
 import itertools
-import math
 
 import numpy as np
 import pytest
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wordprism.functions import text as tx
 from wordprism.functions.geometry import in_polygon
-from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, layout, sample, select, stats, surrogates, topics, views
+from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, layout, sample, select, stats, surrogates, svm, topics, views
 from wordprism.operators import tokens as tk
 from wordprism.sources import corpus, tokenmap
 from wordprism.sources.stopwords import stop_words
@@ -278,22 +278,43 @@ def prob(x, w):
     return p / p.sum(axis=-1, keepdims=True)
 
 
-def test_kernel_shap_equals_shapley_values(spark):
+def shapley_walks(x, w, called, permutations):
+    """Mean logit steps along the given orders of the tokens, for rows that turn from each background row into ``x[i]``."""
+    logit = lambda p: np.log(p / (1 - p))
+    phi = np.zeros(x.shape)
+    for i, c in enumerate(called):
+        f = lambda s: logit(np.mean([prob(np.where(np.isin(range(x.shape[1]), s), x[i], bg), w)[c] for bg in x]))
+        for order in permutations:
+            for at, j in enumerate(order):
+                phi[i, j] += (f(order[:at + 1]) - f(order[:at])) / len(permutations)
+    return phi
+
+
+@pytest.mark.parametrize("n", [1, 10])
+def test_shap_walks_the_permutations(spark, n):
     x, w, values, model, data = small_model(spark)
     predictions = classify.predict(values, data, model)
-    called = {r["text_id"]: "ab".index(r["predicted"]) for r in predictions.collect()}
-    assert called == {f"t_{i}": int(prob(x, w)[i].argmax()) for i in range(3)}
-    got = {(r["text_id"], r["token"]): r["phi"] for r in surrogates.kernel_shap(values, predictions, model).collect()}
-    logit = lambda p: np.log(p / (1 - p))
+    called = [int(p.argmax()) for p in prob(x, w)]
+    orders = [sorted(range(6), key=lambda j: hashlib.md5(f"1537:{p}:k{j}".encode()).hexdigest()) for p in range(n)]
+    got = {(r["text_id"], r["token"]): r["phi"] for r in surrogates.permutation_shap(values, predictions, model, n).collect()}
+    expected = shapley_walks(x, w, called, orders)
     for i in range(3):
-        c = called[f"t_{i}"]
-        f = lambda s: logit(np.mean([prob(np.where(np.isin(range(6), s), x[i], bg), w)[c] for bg in x]))
-        for j in range(6):
-            rest = [k for k in range(6) if k != j]
-            exact = sum(
-                math.factorial(len(s)) * math.factorial(5 - len(s)) / math.factorial(6) * (f([*s, j]) - f(list(s)))
-                for size in range(6) for s in itertools.combinations(rest, size))
-            assert got.get((f"t_{i}", f"k{j}"), 0.0) == pytest.approx(exact, abs=1e-6)
+        mean = np.mean([prob(bg, w)[called[i]] for bg in x])
+        full = prob(x[i], w)[called[i]]
+        own = [got.get((f"t_{i}", f"k{j}"), 0.0) for j in range(6)]
+        assert own == pytest.approx(expected[i], abs=1e-9)
+        assert sum(own) == pytest.approx(np.log(full / (1 - full)) - np.log(mean / (1 - mean)), abs=1e-9)
+
+
+def test_shap_tends_to_shapley_values(spark):
+    x, w, values, model, data = small_model(spark)
+    predictions = classify.predict(values, data, model)
+    exact = shapley_walks(x, w, [int(p.argmax()) for p in prob(x, w)], list(itertools.permutations(range(6))))
+    got = {(r["text_id"], r["token"]): r["phi"] for r in surrogates.permutation_shap(values, predictions, model, 400).collect()}
+    assert np.abs([[got.get((f"t_{i}", f"k{j}"), 0.0) for j in range(6)] for i in range(3)] - exact).max() < 0.02
+    assert surrogates.permutation_shap(values, predictions.where("false"), model).count() == 0
+    one = surrogates.permutation_shap(values, predictions.limit(1), model)
+    assert one.count() == 0  # a row that is its own background
 
 
 def test_lime_follows_the_weights(spark):
@@ -333,14 +354,72 @@ def test_svm_separates(spark):
     values = spark.createDataFrame([(f"t_{i}", f"k{j}", float((j == i % 3) + 0.1 * rng.random())) for i in range(60) for j in range(4)], "text_id string, token string, value double")
     vocab = spark.createDataFrame([(f"k{j}", j) for j in range(4)], "token string, idx long")
     model = classify.fit_svm(values, data, vocab)
-    with pytest.warns(UserWarning, match="converged"):
-        classify.fit_svm(values, data, vocab, steps=1)
+    with pytest.raises(RuntimeError, match="gap"):
+        classify.fit_svm(values, data, vocab, most_rounds=0)
     predicted = classify.predict(values, data, model)
     assert predicted.where("label <> predicted").count() == 0
     report = stats.class_report(predicted, model.classes)
     assert stats.report_summary(report).first()["f1"] == 1.0
 
 
+def svm_reference(x, y, c):
+    """Weights (the last one is the bias) by projected gradients on the dual of 0.5 |w|^2 + c * hinge, run to the end."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    gram = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, step = np.zeros(len(x)), 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(60000):
+        alpha = np.clip(alpha + step * (1 - gram @ alpha), 0, c)
+    return (alpha * y) @ x
+
+
+@pytest.mark.parametrize("block_cells, c", [(1 << 20, 1.0), (1 << 20, 5.0), (100, 1.0)])
+def test_svm_reaches_the_optimum(spark, block_cells, c):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(48, 4)) * (rng.random((48, 4)) > 0.4), 3)
+    x[5] = 0.0  # a row without cells
+    labels = np.array(["p" if v > 0 else "q" if v > -0.7 else "r" for v in x[:, 0] + 0.4 * rng.normal(size=48)])
+    data = texts(spark, *[("x", label) for label in labels], ("x", None))
+    cells = [(f"t_{i}", f"k{j}", float(x[i, j])) for i in range(48) for j in range(4) if x[i, j]] + [("t_48", "k0", 9.0), ("other", "k1", 9.0)]
+    values = spark.createDataFrame(cells, "text_id string, token string, value double")
+    vocab = spark.createDataFrame([(f"k{j}", j) for j in range(4)] + [("unused", 4)], "token string, idx long")
+    gap = 1e-3
+    fit = svm.fit_dual(values, data, vocab, c=c, gap=gap, block_cells=block_cells)
+    weights = {(r["class"], r["token"]): r["weight"] for r in fit.coef.collect()}
+    bias = {r["class"]: r["bias"] for r in fit.bias.collect()}
+    assert len(weights) == 15 and all(weights[k, "unused"] == 0.0 for k in "pqr")
+    for r in fit.gaps.collect():
+        k = r["class"]
+        assert -1e-9 <= r["primal"] - r["dual"] <= gap * r["primal"]
+        best = svm_reference(x, np.where(labels == k, 1.0, -1.0), c)
+        off = np.array([*(weights[k, f"k{j}"] for j in range(4)), bias[k]]) - best
+        assert off @ off / 2 <= gap * r["primal"] + 1e-6
+    checked = rows(svm.certificate(values, data, fit, c=c, gap=gap), "class", "n_rows", "n_own", "within", "bounded", "settled")
+    assert checked == [(k, 48, int((labels == k).sum()), True, True, True) for k in "pqr"]
+    wrong = fit._replace(coef=fit.coef.withColumn("weight", F.when(F.col("token") == "k0", F.col("weight") + 0.5).otherwise(F.col("weight"))))
+    assert svm.certificate(values, data, wrong, c=c, gap=gap).where("within").count() == 0
+    with pytest.raises(ValueError, match="label"):
+        svm.fit_dual(values, data.where("label is null"), vocab)
+
+
+def test_sigmoids_settle_at_the_least_loss(spark):
+    rng = np.random.default_rng(3)
+    m = np.concatenate([rng.normal(1.0, 1.0, 40), rng.normal(-1.0, 2.0, 60)])
+    hit = np.arange(100) < 40
+    table = [("a", float(v), bool(h)) for v, h in zip(m, hit)] + [("b", float(v), bool(v > 0)) for v in m] + [("c", 0.5, True), ("c", 0.5, True)]
+    got = {r["class"]: (r["a"], r["b"]) for r in classify.fit_sigmoids(spark.createDataFrame(table, "class string, m double, hit boolean")).collect()}
+    for name, own in (("a", hit), ("b", m > 0)):
+        t = np.where(own, (own.sum() + 1) / (own.sum() + 2), 1 / ((~own).sum() + 2))
+
+        def slope(a, b):
+            p = 1 / (1 + np.exp(a * m + b))
+            return abs(((t - p) * m).sum()), abs((t - p).sum())
+
+        assert max(slope(*got[name])) < 1e-3
+    assert np.isfinite(got["c"]).all()
+    with pytest.raises(RuntimeError, match="settled"):
+        classify.fit_sigmoids(spark.createDataFrame(table, "class string, m double, hit boolean"), most_steps=1)
+
+
 def test_queries_predict_and_explain_with_the_svm(spark, monkeypatch):
     """k0 separates the classes; k1 moves the class centroids but says less."""
     from wordprism.queries import explain as queries
@@ -358,7 +437,7 @@ def test_queries_predict_and_explain_with_the_svm(spark, monkeypatch):
     assert QUERIES["ml_svm_predict"](spark, "").where("label = predicted and predicted_prob > 0.5").count() == 4
     assert rows(QUERIES["agg_svm_class_report"](spark, ""), "class", "f1", "support") == [("a", 1.0, 2), ("b", 1.0, 2)]
     assert QUERIES["agg_svm_report_summary"](spark, "").first()["accuracy"] == 1.0
-    phi = {(r["text_id"], r["token"]): r["phi"] for r in QUERIES["ml_shap"](spark, "").collect()}
+    phi = {(r["text_id"], r["token"]): r["phi"] for r in QUERIES["ml_svm_shap"](spark, "").collect()}
     assert phi["t_81", "k0"] > abs(phi["t_81", "k1"]) and phi["t_83", "k0"] > abs(phi["t_83", "k1"])
     monkeypatch.setattr(surrogates, "lime", functools.partial(surrogates.lime, samples=500))
     scores = {(r["method"], r["class"], r["token"]): r["score"] for r in QUERIES["snk_svm_explanation"](spark, "").collect()}

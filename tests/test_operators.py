@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wordprism.functions import text as tx
 from wordprism.functions.geometry import in_polygon
-from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, layout, sample, select, stats, surrogates, svm, topics, views
+from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, layout, neighbours, sample, select, stats, surrogates, svm, topics, views
 from wordprism.operators import tokens as tk
 from wordprism.sources import corpus, tokenmap
 from wordprism.sources.stopwords import stop_words
@@ -146,7 +147,7 @@ def silhouette_by_hand(x, labels):
     return float(np.mean(scores))
 
 
-def test_silhouette_and_neighbours_over_blocks(spark):
+def test_silhouette_over_blocks(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 3))
     x[10] = x[11]
@@ -157,10 +158,41 @@ def test_silhouette_and_neighbours_over_blocks(spark):
     sparse = df.select("text_id", "label", F.sequence(F.lit(0), F.lit(2)).cast("array<long>").alias("idx"), F.col("vec").alias("val"))
     assert geometry.silhouette(sparse, block_rows=16).first()["silhouette"] == pytest.approx(got)
     assert geometry.silhouette(df.withColumn("label", F.lit("a"))).first()["silhouette"] is None
-    near = {(r["text_id"], r["rank"]): r["neighbour"] for r in geometry.nearest(df, 4, block_rows=16).collect()}
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) + np.diag([np.inf] * 60)
-    for i in range(60):
-        assert [near[f"p{i:02d}", k + 1] for k in range(4)] == [f"p{j:02d}" for j in np.argsort(d[i], kind="stable")[:4]]
+
+
+def neighbours_by_hand(names, x, k):
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 9)
+    order = [sorted((j for j in range(len(x)) if j != i), key=lambda j: (d[i, j], names[j]))[:k] for i in range(len(x))]
+    return [(names[i], r, names[j], d[i, j]) for i, o in enumerate(order) for r, j in enumerate(o, 1)]
+
+
+@pytest.mark.parametrize("dims, k, cell_rows", [(2, 4, 16), (2, 1, 8), (7, 5, 512), (3, 15, 3), (1, 400, 32)])
+def test_nearest_against_all_pairs(spark, monkeypatch, dims, k, cell_rows):
+    """Clusters, ties on a grid, equal rows; blocks and visitor groups small enough to be split."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(neighbours, "REGION_ROWS", 40)
+    monkeypatch.setattr(neighbours, "VISITORS", 20)
+    rng = np.random.default_rng(dims)
+    x = np.vstack([rng.normal(size=(120, dims)) + 9 * (np.arange(120) % 4)[:, None], rng.integers(0, 3, (60, dims)).astype(float), np.ones((25, dims))])
+    names = [f"p{i * 7 % len(x):03d}" for i in range(len(x))]
+    table = [(n, v.tolist(), "x", 1) for n, v in zip(names, x)] + [("nothing", None, "x", 1), (None, [0.0] * dims, "x", 1)]
+    df = spark.createDataFrame(table, "text_id string, vec array<double>, cell string, bound int").repartition(3)
+    report = {}
+    got = neighbours.nearest(df, k, cell_rows, report)
+    expected = neighbours_by_hand(names, x, k)
+    assert [r[:3] for r in rows(got, "text_id", "rank", "neighbour", "distance")] == [r[:3] for r in sorted(expected)]
+    assert np.allclose([r[3] for r in rows(got, "text_id", "rank", "neighbour", "distance")], [r[3] for r in sorted(expected)])
+    assert report["rows"] == len(x)
+    if (dims, cell_rows) == (2, 8):
+        assert report["visits"] < len(x) * report["cells"] / 2 and report["copies"] < report["visits"]
+
+
+def test_nearest_of_few_rows(spark):
+    schema = "text_id string, vec array<double>"
+    assert neighbours.nearest(spark.createDataFrame([], schema)).count() == 0
+    assert neighbours.nearest(spark.createDataFrame([("a", [1.0]), ("b", None)], schema)).count() == 0
+    two = spark.createDataFrame([("b", [1.0]), ("a", [1.0])], schema)
+    assert rows(neighbours.nearest(two), "text_id", "rank", "neighbour", "distance") == [("a", 1, "b", 0.0), ("b", 1, "a", 0.0)]
 
 
 def test_projections(spark):

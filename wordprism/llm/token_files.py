@@ -47,7 +47,7 @@ def _unpack(payload: memoryview) -> tuple[list[int | None], np.ndarray, list[mem
     return [None if x else int(d) for d, x in zip(docs, null)], sizes, blocks
 
 
-def _coded(path: str, end_id: int):
+def _coded(path: str, end_id: int, batch_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file = T.encoder(path), TaskContext.get().partitionId()
         number, waiting, held = 0, [], 0  # closed segments that wait for coding
@@ -91,7 +91,7 @@ def _coded(path: str, end_id: int):
                     first = last
                     if size >= SEGMENT_IDS or first < len(names):
                         close()
-                        if held >= BATCH_IDS:
+                        if held >= batch_ids:
                             yield flush()
         if docs:
             close()
@@ -101,7 +101,7 @@ def _coded(path: str, end_id: int):
     return run
 
 
-def write_coded(docs: DataFrame, path: str | None = None, end_id: int = END_ID, to: str | None = None) -> str:
+def write_coded(docs: DataFrame, path: str | None = None, end_id: int = END_ID, to: str | None = None, batch_ids: int = BATCH_IDS) -> str:
     """Write ``docs`` (doc_id, text) as coded segments in ascending doc_id order; returns the folder.
 
     Rows are range partitioned by doc_id (null first, rows that repeat an id by a
@@ -112,11 +112,11 @@ def write_coded(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     path, to = path or T.vocabulary_path(), to or scratch_path(docs.sparkSession, "token-segments")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tag"))
     rows = rows.repartitionByRange("doc_id", "_tag").sortWithinPartitions("doc_id", "_tag", "text").select("doc_id", "text")
-    rows.mapInArrow(_coded(path, end_id), _SEGMENT).write.parquet(to)
+    rows.mapInArrow(_coded(path, end_id, batch_ids), _SEGMENT).write.parquet(to)
     return to
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoded(batch_ids: int):
     def out(held: list[tuple]) -> pa.RecordBatch:
         plain = C.decode([b for h in held for b in h[4]])
         columns: list[list] = [[] for _ in range(7)]
@@ -134,17 +134,20 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "segment", "place", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    held: list[tuple] = []
-    size = 0
-    for batch in batches:
-        for file, segment, n_ids, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-            held.append((file, segment, *_unpack(memoryview(payload.as_buffer()))))
-            size += n_ids
-            if size >= BATCH_IDS:
-                yield out(held)
-                held, size = [], 0
-    if held:
-        yield out(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for file, segment, n_ids, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                held.append((file, segment, *_unpack(memoryview(payload.as_buffer()))))
+                size += n_ids
+                if size >= batch_ids:
+                    yield out(held)
+                    held, size = [], 0
+        if held:
+            yield out(held)
+
+    return run
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +167,14 @@ def read_ids(segments: DataFrame) -> DataFrame:
     return segments.select("file", "segment", "payload").mapInArrow(_ids, "file int, segment int, place long, doc_id long, ids array<int>")
 
 
-def read_index(segments: DataFrame) -> DataFrame:
+def read_index(segments: DataFrame, batch_ids: int = BATCH_IDS) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the decoded segments.
 
     ``start`` counts the ids of all documents before it: running sums over the
     segments of a file and over the files, one row each.
     """
     rows = segments.select("file", "segment", "n_ids", "payload").mapInArrow(
-        _decoded, "file int, segment int, place long, doc_id long, start long, n_tokens long, ids_crc32 long"
+        _decoded(batch_ids), "file int, segment int, place long, doc_id long, start long, n_tokens long, ids_crc32 long"
     )
     sizes = segments.select("file", "segment", "n_ids")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -183,13 +186,14 @@ def read_index(segments: DataFrame) -> DataFrame:
     )
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID, batch_ids: int = BATCH_IDS) -> DataFrame:
     """Write all ``docs`` as coded segments, read them back: ``doc_id, start, n_tokens, ids_crc32``.
 
     Ids come from the tokenizers library (its special strings in a text are
     special tokens), ``end_id`` closes each document. Null text: the end id alone.
     Null doc_id: first. Repeated rows: one document each. No rows: no rows. Other
-    columns are ignored.
+    columns are ignored. ``batch_ids`` are coded in step: more take more memory
+    and less time; the result does not depend on it.
     """
-    to = write_coded(docs, path, end_id)
-    return read_index(docs.sparkSession.read.schema(_SEGMENT).parquet(to))
+    to = write_coded(docs, path, end_id, batch_ids=batch_ids)
+    return read_index(docs.sparkSession.read.schema(_SEGMENT).parquet(to), batch_ids)

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from wordprism.llm import block_neighbours, decontaminate, ngram_join, quality_gam, separator_scan, shard_tree, source_mix, substring_dedup, token_coder, token_files, token_ids, url_filter
 from wordprism.llm import words as W
@@ -266,6 +267,13 @@ def test_mix(spark, docs, rows, empty):
     mixed = source_mix.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
     assert source_mix.mix(empty).count() == 0
+    clash = docs.select("*", *[F.lit("own").alias(c) for c in ("_source", "source_size", "target", "rate", "copies", "_copy", "_row")])
+    back = source_mix.mix(clash)
+    assert back.columns == clash.columns and back.schema == clash.schema
+    assert sorted(map(repr, back.distinct().collect())) == sorted(map(repr, clash.join(back.select("doc_id", "text").distinct(), ["doc_id", "text"], "left_semi").distinct().select(*clash.columns).collect() + [r for r in back.where("doc_id is null or text is null").distinct().collect()]))
+    bare = spark.range(30000).selectExpr("cast(null as long) as doc_id", "case when id % 3 = 0 then 'a' end as source", "concat('w', id, repeat(' x', int(id % 20))) as text")
+    for r in source_mix.mixing_plan(bare).selectExpr("source", "target", "size * copies as t").groupBy("source").agg(F.max("target").alias("target"), F.sum("t").alias("t")).collect():
+        assert abs(r.t - r.target) < 0.03 * r.target
     many = spark.range(30000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'a' when id % 7 = 0 then 'b' end as source", "repeat('x ', int(id % 20)) as text")
     taken = {r.source: r for r in source_mix.mixing_plan(many).selectExpr("source", "target", "size * copies as t").groupBy("source").agg({"target": "max", "t": "sum"}).collect()}
     assert all(abs(r["sum(t)"] - r["max(target)"]) < 0.03 * r["max(target)"] for r in taken.values())
@@ -315,9 +323,9 @@ def test_contamination(spark, docs, rows, empty, shard_words):
     windows = {}
     for i, t in items:
         w = alnum(t)
-        if w and i is not None:
+        if w:
             for at in range(max(1, len(w) - 9)):
-                windows.setdefault(tuple(w[at:at + 10]), set()).add(str(i))
+                windows.setdefault(tuple(w[at:at + 10]), set()).add(i if i is None else str(i))
     want = []
     for d, t in rows:
         w, hit, names = alnum(t), set(), set()
@@ -326,7 +334,7 @@ def test_contamination(spark, docs, rows, empty, shard_words):
                 if tuple(w[at:at + n]) in windows:
                     hit |= set(range(at, at + n))
                     names |= windows[tuple(w[at:at + n])]
-        want.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+        want.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest(), bool(hit)))
     got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(docs, bench, 10, shard_words).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert decontaminate.contamination(empty, bench).count() == 0

@@ -144,14 +144,14 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """``item_id`` (as a string) and the word hashes of each item; items without words or id are left out."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+    """``item_id`` (as a string, or null) and the word hashes of each item; items without words are left out."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     return rows.mapInArrow(_items, "item_id string, words array<long>").where(F.size("words") > 0)
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> Iterator[Automaton]:
     """Automata over groups of items, each of at most ``shard_words`` words or one item, built as items stream in."""
-    held: list[tuple[str, list[int]]] = []
+    held: list[tuple[str | None, list[int]]] = []
     total = 0
     for row in item_words(benchmark).toLocalIterator():
         if held and total + len(row.words) > shard_words:
@@ -195,7 +195,7 @@ def _scan(held: list[Automaton]):
                         else:
                             merged[text] = (mask, items)
                 for text, (mask, items) in merged.items():
-                    n_hit[text], n_items[text], names[text] = int(mask.sum()), len(items), sorted(items)
+                    n_hit[text], n_items[text], names[text] = int(mask.sum()), len(items), sorted(items - {None})
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
                     spans[text] = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
                 digest = [hashlib.sha256(",".join(n).encode()).hexdigest() for n in names]
@@ -223,8 +223,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     an automaton is bounded by ``shard_words``, and every document meets each.
 
     Null or wordless texts have no words and no hits. Null ids stay. Items that
-    repeat a text are all reported, an item_id that repeats counts once; items
-    without words or id are left out. No items: nothing is hit. No rows: no rows.
+    repeat a text are all reported, an item_id that repeats counts once; items without
+    an id hit and are cut like others, count as one in n_items together and have no
+    name in items and the digest. Items without words are left out. No items: nothing is hit. No rows: no rows.
     Other columns are ignored.
     """
     held = list(automata(benchmark, window, shard_words))

@@ -72,7 +72,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
+  select doc_id, source, md5(coalesce(text, '')) as digest, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
 ), t as (select source, sum(size)::bigint as source_size from d group by source),
 n as (select *, row_number() over (order by source nulls last) - 1 as i from t),
 w as (select *, [3.0, 1.0, 2.0][(i % 3) + 1]::double as weight, source_size * 2.0::double as room from n),
@@ -86,7 +86,7 @@ l as (
   from (select *, max(case when level * weight <= room then level end) over () as open from l)
 ), j as (
   select d.doc_id, d.size, g.source_size, g.target, case when g.source_size > 0 then g.target / g.source_size else 0 end as rate,
-    ('0x' || substr(md5('11:' || coalesce(d.doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0::double as draw
+    ('0x' || substr(md5('11:' || coalesce(d.doc_id::varchar, 'null') || ':' || d.digest), 1, 8))::bigint / 4294967296.0::double as draw
   from d join g on d.source is not distinct from g.source
 )
 select doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::int))::bigint as taken from j

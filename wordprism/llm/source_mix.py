@@ -49,6 +49,11 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(_DRAW)
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """What a document is drawn by: its id and the digest of its text, so that rows that share an id draw apart."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+
+
 def mixing_plan(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11,
 ) -> DataFrame:
@@ -58,8 +63,9 @@ def mixing_plan(
     document's draw falls below the fraction. The first pass reads source and words
     only and ends in one row per source.
 
-    Null source: a source of its own, after all others. Null text: size 0. Null
-    doc_id: one draw for all such rows; repeated rows are drawn alike. A source
+    Null source: a source of its own, after all others. Null text: size 0. A row is
+    drawn by its id (or ``null``) and its text, so only equal texts under one id are
+    drawn alike. A source
     without words has target 0 and rate 0. Columns of ``docs`` that bear one of the
     added names are replaced. No rows give no rows.
     """
@@ -71,11 +77,12 @@ def mixing_plan(
     joined = rows.join(F.broadcast(plan) if small else plan, rows["source"].eqNullSafe(plan["_source"]), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("rate", rate)
-    extra = (draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    extra = (draw(document_key(F.col("doc_id"), F.col("text")), seed) < F.col("rate") - F.floor("rate")).cast("long")
     return joined.withColumn("copies", F.floor("rate") + extra)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows with the columns of ``docs``: each row as often as ``mixing_plan`` says."""
-    planned = mixing_plan(docs, **options).where("copies > 0")
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """The mixed rows of ``docs``: each row as often as ``mixing_plan`` says, with all its columns whatever their names."""
+    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
+    planned = mixing_plan(rows, **options).where("copies > 0").select("_row", "copies")
+    return planned.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wordprism.functions import text as tx
 from wordprism.functions.geometry import in_polygon
-from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, layout, neighbours, sample, select, stats, surrogates, svm, topics, views
+from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, layout, neighbours, regions, sample, select, stats, surrogates, svm, topics, views
 from wordprism.operators import tokens as tk
 from wordprism.sources import corpus, tokenmap
 from wordprism.sources.stopwords import stop_words
@@ -133,6 +133,35 @@ def test_pooling_of_empty_text(spark):
     assert embed.resolve_layers([-1, 0], 13) == [12, 0]
 
 
+def holds(x, y, corners):
+    """Even-odd rule, border included."""
+    odd = False
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return True
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("cells", [1, 4, 32])
+def test_many_polygons(spark, cells):
+    rng = np.random.default_rng(cells)
+    shapes = {f"r{i}": [(float(a), float(b)) for a, b in np.round(8 * (rng.normal(size=(int(rng.integers(3, 9)), 2)) * 2 + rng.normal(size=2))) / 8] for i in range(60)}
+    shapes |= {"square": [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], "closed": [(0.0, 0.0), (2.0, 0.0), (1.0, 2.0), (0.0, 0.0)], "line": [(-1.0, -1.0), (1.0, 1.0)], "dot": [(0.5, 0.5)],
+               "comb": [(0.0, 0.0), (5.0, 0.0), (5.0, 3.0), (4.0, 1.0), (3.0, 3.0), (2.0, 1.0), (1.0, 3.0)]}
+    points = [(float(a), float(b)) for a, b in np.vstack([np.round(rng.normal(size=(150, 2)) * 24) / 8, rng.integers(-2, 6, (60, 2)) / 2])] + [(99.0, 0.0)]
+    table = spark.createDataFrame([(i, x, y, "own", 7) for i, (x, y) in enumerate(points)] + [(900, None, 1.0, "x", 7), (901, float("nan"), 1.0, "x", 7)], "id int, x double, y double, polygon string, cx int")
+    polygons = spark.createDataFrame([*shapes.items(), ("none", []), ("null", None), ("nan", [(0.0, float("nan")), (1.0, 1.0), (9.0, 9.0)])], "polygon string, corners array<struct<x:double,y:double>>")
+    got = regions.in_polygons(table, polygons, cells)
+    assert sorted(got.columns) == ["cx", "id", "polygon", "x", "y"]
+    assert rows(got, "id", "polygon") == sorted((i, p) for i, (x, y) in enumerate(points) for p, c in shapes.items() if holds(x, y, c))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert regions.in_polygons(table, polygons.where("false"), cells).count() == 0
+    assert regions.in_polygons(table.where("false"), polygons, cells).count() == 0
+
+
 def silhouette_by_hand(x, labels):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     scores = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordprism.operators import select, views
+from wordprism.operators import regions, select, views
 from wordprism.plans.tables import stored
 from wordprism.queries.base import plane, spans, table, texts
 from wordprism.registry import cte, query
@@ -36,6 +36,43 @@ def sel_lasso(spark, sf_dir):
     return inside(spark, sf_dir)
 
 
+RINGS = 24  # polygons around the middle of each class
+_SHAPE = ((-1.0, -0.5), (0.25, -1.0), (0.125, 0.0), (1.0, 0.25), (-0.25, 1.0))
+
+
+@query(
+    "sel_lasso_many",
+    f"""
+  with box as (select label, avg(x) as mx, avg(y) as my, max(x) - min(x) as w, max(y) - min(y) as h from plane group by label),
+  ring as (select *, unnest(range(1, {RINGS + 1})) as k from box),
+  corner as (
+    select label, k, i, mx + w * k / {RINGS}.0::double * sx as px, my + h * k / {RINGS}.0::double * sy as py
+    from ring, (values {", ".join(f"({i}, {a}::double, {b}::double)" for i, (a, b) in enumerate(_SHAPE))}) v(i, sx, sy)),
+  edge as (
+    select a.label || ':' || a.k as polygon, a.label as own, a.px, a.py, b.px as qx, b.py as qy
+    from corner a join corner b on a.label = b.label and a.k = b.k and b.i = (a.i + 1) % {len(_SHAPE)}),
+  hit as (
+    select polygon, own, text_id, any_value(label) as label from plane, edge group by polygon, own, text_id
+    having bool_or((qx - px) * (y - py) = (qy - py) * (x - px) and x between least(px, qx) and greatest(px, qx) and y between least(py, qy) and greatest(py, qy))
+      or count(*) filter ((py > y) <> (qy > y) and x < (qx - px) * (y - py) / (qy - py) + px) % 2 = 1)
+  select p.polygon, count(text_id) as n, count(text_id) filter (label = p.own) as n_own
+  from (select distinct polygon, own from edge) p left join hit using (polygon, own) group by 1""",
+)
+def sel_lasso_many(spark, sf_dir):
+    """Points, and points of the own class, inside each of a set of polygons around the middle of every class."""
+    rows = plane(spark, sf_dir)
+    box = rows.groupBy("label").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    rings = box.select("*", F.explode(F.sequence(F.lit(1), F.lit(RINGS))).alias("k"))
+    size = lambda c: F.col(c) * F.col("k") / float(RINGS)
+    corners = F.array(*[F.struct((F.col("mx") + size("w") * a).alias("x"), (F.col("my") + size("h") * b).alias("y")) for a, b in _SHAPE])
+    polygons = stored(rings.select(F.concat_ws(":", "label", "k").alias("polygon"), F.col("label").alias("own"), corners.alias("corners")), "polygons")
+    found = regions.in_polygons(rows.select("label", "x", "y"), polygons).groupBy("polygon", "label").agg(F.count(F.lit(1)).alias("m"))
+    joined = polygons.select("polygon", "own").join(found, "polygon", "left")
+    return joined.groupBy("polygon").agg(
+        F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("label") == F.col("own"), F.col("m"))), F.lit(0)).alias("n_own")
+    )
+
+
 @query("sel_class", "select text_id, label from texts where label in ('de', 'es', 'fr')")
 def sel_class(spark, sf_dir):
     return select.by_class(texts(spark, sf_dir), ("de", "es", "fr")).select("text_id", "label")

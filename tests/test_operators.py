@@ -118,6 +118,18 @@ def test_alignment(spark):
     assert tokens["tag_word"] is None and tokens["tag_idx"] is None
 
 
+def test_word_tokens_equal_the_general_alignment(spark):
+    many = " ".join(["state-of-the-art, - it's x--y -z well-known-", "été-ñ 3-4 _a-b_", "a-", "(b-c)"] * 40)
+    data = texts(spark, (many, "x"), ("", "x"), (None, "x"), ("-", "x"), ("a-b", "y"), ("  lead-in \n-\n end-", "y"))
+    tags = annotate.named_entities(annotate.pos_tags(annotate.numbered_words(data, ("label",)), annotate.lexicon(spark), annotate.tag_names(spark)))
+    got = annotate.word_tokens(tags)
+    columns = ("text_id", "pos", "token", "start", "end", "tag_idx", "tag_word", "tag_desc", "tag_start", "tag_end")
+    general = annotate.align(tk.token_spans(data), annotate.pos_tags(annotate.words(data), annotate.lexicon(spark), annotate.tag_names(spark)))
+    assert rows(got, *columns) == rows(general, *columns) and got.where("label is null").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Window" not in plan and "Exchange range" not in plan
+
+
 def test_entities_by_run(spark):
     data = texts(spark, ("we met New York City and Paris", "x"))
     tagged = annotate.pos_tags(annotate.words(data), annotate.lexicon(spark), annotate.tag_names(spark))

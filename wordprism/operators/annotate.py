@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordprism.operators.tokens import HYPHENATED, token_spans
+from wordprism.operators.tokens import HYPHENATED, TOKEN, token_spans, without_stop_words
 
 # Closed-class English words and their tags.
 LEXICON = {
@@ -188,7 +188,43 @@ def align(token_rows: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
-def occurrences(token_rows: DataFrame, tags: DataFrame) -> DataFrame:
-    """Long inverted index: one row per occurrence of a token, with its word."""
-    rows = token_rows.where(F.trim("token") != "")
-    return align(rows.withColumn("token", F.trim("token")), tags)
+_JOINT = r"(?<=\S)-(?=\S)"  # a hyphen inside a word
+
+
+def _n_tokens(piece: Column) -> Column:
+    """Model tokens of a word with the white space before it: a hyphen inside a word is a token, and so are its sides."""
+    return F.lit(1) + F.when(F.contains(piece, F.lit("-")), 2 * F.regexp_count(piece, F.lit(_JOINT))).otherwise(F.lit(0))
+
+
+def numbered_words(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`words` with ``first``, the number of model tokens before each word."""
+    rows = token_spans(texts, HYPHENATED, keep, counts={"first": _n_tokens})
+    return rows.withColumnRenamed("pos", "tag_idx").withColumnRenamed("token", "word")
+
+
+def word_tokens(tags: DataFrame) -> DataFrame:
+    """The model tokens of annotated words, each with its word: what :func:`align` gives for the words of the text.
+
+    ``tags`` comes from :func:`numbered_words`. Words are runs of whole tokens, so a
+    word is cut into its tokens where it stands: no sort, no shuffle, no join.
+    """
+    payload = [c for c in ("word", "tag_desc", "entity") if c in tags.columns]
+    keep = [c for c in tags.columns if c not in ("text_id", "tag_idx", "start", "end", "first", "tag", *payload)]
+    single = F.array(F.struct(F.col("word").alias("token"), F.lit(0).alias("at")))
+    pieces = F.regexp_extract_all("word", F.lit(TOKEN), F.lit(0))
+    begin = lambda p, i: F.length(F.array_join(F.slice(pieces, F.lit(1), i), ""))
+    several = F.transform(pieces, lambda p, i: F.struct(p.alias("token"), begin(p, i).alias("at")))
+    cut = F.when(F.contains("word", F.lit("-")) & (F.length("word") > 1), several).otherwise(single)
+    rows = tags.select("*", F.posexplode(cut).alias("_i", "_t"))
+    start = F.col("start") + F.col("_t.at")
+    return rows.select(
+        "text_id", *keep, (F.col("first") + F.col("_i")).alias("pos"), F.col("_t.token").alias("token"),
+        start.alias("start"), (start + F.length("_t.token")).alias("end"), "tag_idx",
+        *[F.col(c).alias("tag_word" if c == "word" else c) for c in payload],
+        F.col("start").cast("int").alias("tag_start"), F.col("end").cast("int").alias("tag_end"),
+    )
+
+
+def occurrences(tags: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """Long inverted index: one row per occurrence of a content token, with its annotated word."""
+    return without_stop_words(word_tokens(tags), stop_words)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +22,15 @@ def token_spans(
     pattern: str = TOKEN,
     keep: tuple[str, ...] = (),
     neighbours: bool = False,
+    counts: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Split texts into ``text_id, pos, token, start, end`` (end exclusive).
 
     Everything happens inside the row of a text: no shuffle and no sort. The
     running sums are taken in two levels (chunks of 64 pieces, then pieces), which
     keeps the work near linear for texts of any length. ``neighbours`` adds the
-    tokens before and after (``before``, ``after``; null at the ends).
+    tokens before and after (``before``, ``after``; null at the ends). ``counts`` names
+    measures of a piece; each adds the sum of its measure over all pieces before.
     """
     pieces = F.regexp_extract_all("text", F.lit(r"\s*" + pattern), F.lit(0))
     split = texts.select("text_id", *keep, pieces.alias("_p")).where(F.size("_p") > 0)
@@ -36,35 +40,27 @@ def token_spans(
     def chunked(array: Column) -> Column:
         return F.transform(number, lambda c: F.slice(array, c * _CHUNK + 1, F.lit(_CHUNK)))
 
-    total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda acc, p: acc + F.length(p))
+    measures = {"offset": F.length, **(counts or {})}
+    last = lambda acc: F.element_at(acc, -1)
+
+    def before(items: str, begin: Column, measure: Callable[[Column], Column]) -> Column:
+        """For each entry of an array: ``begin`` and the measures of the entries before it."""
+        sums = F.aggregate(items, F.array(begin), lambda acc, x: F.array_append(acc, last(acc) + measure(x)))
+        return F.slice(sums, F.lit(1), F.size(items))
+
+    def total(measure: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda chunk: F.aggregate(chunk, F.lit(0), lambda acc, p: acc + measure(p))
+
     columns = {"piece": chunked(F.col("_p"))}
     if neighbours:
         columns["before"] = chunked(F.concat(F.array(F.lit(None).cast("string")), F.slice("_p", 1, count - 1)))
         columns["after"] = chunked(F.concat(F.slice("_p", F.lit(2), count), F.array(F.lit(None).cast("string"))))
     chunks = split.select("text_id", *keep, *[c.alias(name) for name, c in columns.items()])
-    chunks = chunks.withColumn(
-        "offset",
-        F.slice(
-            F.aggregate("piece", F.array(F.lit(0)), lambda acc, c: F.array_append(acc, F.element_at(acc, -1) + total(c))),
-            F.lit(1),
-            F.size("piece"),
-        ),
-    )
-    names = [*columns, "offset"]
+    chunks = chunks.select("*", *[before("piece", F.lit(0), total(m)).alias(name) for name, m in measures.items()])
+    names = [*columns, *measures]
     rows = chunks.select("text_id", *keep, F.posexplode(F.arrays_zip(*names)).alias("_chunk", "_z"))
     rows = rows.select("text_id", *keep, "_chunk", *[F.col(f"_z.{n}").alias(n) for n in names])
-    rows = rows.withColumn(
-        "offset",
-        F.slice(
-            F.aggregate(
-                "piece",
-                F.array(F.col("offset")),
-                lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)),
-            ),
-            F.lit(1),
-            F.size("piece"),
-        ),
-    )
+    rows = rows.withColumns({name: before("piece", F.col(name), m) for name, m in measures.items()})
     rows = rows.select("text_id", *keep, "_chunk", F.posexplode(F.arrays_zip(*names)).alias("_i", "_z"))
     token = lambda n: F.ltrim(F.col(f"_z.{n}"), F.lit(tx.BLANKS))
     end = F.col("_z.offset") + F.length("_z.piece")
@@ -76,6 +72,7 @@ def token_spans(
         (end - F.length(token("piece"))).alias("start"),
         end.alias("end"),
         *([token("before").alias("before"), token("after").alias("after")] if neighbours else []),
+        *[F.col(f"_z.{name}").alias(name) for name in counts or {}],
     )
 
 

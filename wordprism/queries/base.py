@@ -44,16 +44,15 @@ def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("text_id", "label", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
 
 
-def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = annotate.words(texts(spark, sf_dir))
+def tagged(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = annotate.numbered_words(texts(spark, sf_dir), keep)
     with_tags = annotate.pos_tags(rows, annotate.lexicon(spark), annotate.tag_names(spark))
     return annotate.named_entities(with_tags)
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long inverted index over content tokens."""
-    rows = tk.token_spans(texts(spark, sf_dir), keep=("label",))
-    return annotate.occurrences(tk.without_stop_words(rows, stop_words(spark)), tagged(spark, sf_dir))
+    return annotate.occurrences(tagged(spark, sf_dir, ("label",)), stop_words(spark))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:

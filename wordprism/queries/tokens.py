@@ -90,7 +90,7 @@ def ann_lemma(spark, sf_dir):
     qualify row_number() over (partition by t.text_id, t.pos order by g.tag_idx) = 1""",
 )
 def ann_align(spark, sf_dir):
-    return annotate.align(tk.token_spans(texts(spark, sf_dir)), tagged(spark, sf_dir))
+    return annotate.word_tokens(tagged(spark, sf_dir))
 
 
 _OCCURRENCE = 'text_id, label, pos, token, "start", "end", tag_idx, tag_word, tag_desc, entity, tag_start, tag_end'

@@ -145,6 +145,23 @@ def test_pooling_of_empty_text(spark):
     assert embed.resolve_layers([-1, 0], 13) == [12, 0]
 
 
+@pytest.mark.parametrize("width", [1, 8, 768])
+def test_pooling_of_any_width(spark, width):
+    rng = np.random.default_rng(width)
+    x, mask = rng.normal(size=(30, width)), (rng.random(30) > 0.3).astype(float)
+    mask[20:24] = 0.0  # a text whose tokens are all masked
+    owner = [f"t_{0 if i < 20 else 1 if i < 24 else 2}" for i in range(30)]
+    rows_ = [(owner[i], 3, float(mask[i]), [float(v) for v in x[i]]) for i in range(30)] + [("t_2", 3, 1.0, None)]
+    data = spark.createDataFrame(rows_, "text_id string, layer int, m double, vec array<double>").repartition(3)
+    everyone = spark.createDataFrame([("t_0",), ("t_1",), ("t_2",), ("t_9",)], "text_id string")
+    pooled = embed.mean_pool(data, width, everyone, mask=F.col("m"))
+    got = {r["text_id"]: r["vec"] for r in pooled.collect()}
+    for text, part in (("t_0", slice(0, 20)), ("t_2", slice(24, 30))):
+        assert np.allclose(got[text], (x[part] * mask[part, None]).sum(axis=0) / mask[part].sum())
+    assert got["t_1"] == got["t_9"] == [0.0] * width
+    assert "Generate" not in pooled._jdf.queryExecution().executedPlan().toString()
+
+
 def holds(x, y, corners):
     """Even-odd rule, border included."""
     odd = False

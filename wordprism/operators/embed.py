@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,6 @@ from wordprism.operators.tokens import TOKEN, token_spans, tokens_in_context
 
 DIMENSIONS = 8
 _DIGITS = 4
-_WIDE = 128
 
 
 def _layout(dimensions: int) -> list[tuple[int, int, int]]:
@@ -104,18 +105,13 @@ def mean_pool(
     With ``texts`` given, a text without tokens gets a vector of zeros.
     """
     m = F.lit(1.0) if mask is None else mask.cast("double")
-    weight = F.greatest(F.sum(m), F.lit(1e-9))
     keys = ["text_id", "layer", *keep]
-    if dimensions <= _WIDE:
-        sums = [(F.sum(F.col("vec")[k] * m) / weight).alias(f"_{k}") for k in range(dimensions)]
-        pooled = token_vec.groupBy(*keys).agg(*sums)
-        pooled = pooled.select(*keys, F.array(*[F.col(f"_{k}") for k in range(dimensions)]).alias("vec"))
-    else:
-        long = token_vec.select(*keys, m.alias("_m"), F.posexplode("vec").alias("dim", "x"))
-        per_dim = long.groupBy(*keys, "dim").agg((F.sum(F.col("x") * F.col("_m")) / F.greatest(F.sum("_m"), F.lit(1e-9))).alias("x"))
-        pooled = per_dim.groupBy(*keys).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec")
-        )
+    vec = F.col("vec").cast("array<double>")
+    weighted = vec if mask is None else F.transform(vec, lambda x: x * m)
+    rows = token_vec.where(F.col("vec").isNotNull()).select(*keys, m.alias("_m"), array_to_vector(weighted).alias("_x"))
+    # one vector-valued sum, whatever the width
+    summed = rows.groupBy(*keys).agg(Summarizer.metrics("sum").summary(F.col("_x")).alias("_v"), F.greatest(F.sum("_m"), F.lit(1e-9)).alias("_w"))
+    pooled = summed.select(*keys, F.transform(vector_to_array("_v.sum"), lambda x: x / F.col("_w")).alias("vec"))
     if texts is None:
         return pooled
     zeros = F.array_repeat(F.lit(0.0), dimensions)

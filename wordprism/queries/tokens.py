@@ -67,10 +67,11 @@ def ann_entity(spark, sf_dir):
 @query(
     "ann_lemma",
     """
-    with f as (select lower(token) as word, count(*) as n from word_spans group by 1),
-    l as (select p.word, s.word as lemma from f p join f s on p.word = s.word || 's' where s.n > p.n)
-    select text_id, pos as tag_idx, lower(token) as word, coalesce(lemma, lower(token)) as lemma
-    from word_spans left join l on lower(token) = word""",
+    with w as materialized (select text_id, pos as tag_idx, lower(token) as word from word_spans),
+    f as materialized (select word, count(*) as n from w group by word),
+    p as materialized (select word, n, substr(word, 1, length(word) - 1) as stem from f where length(word) > 1 and ends_with(word, 's')),
+    l as materialized (select p.word, p.stem as lemma from p join f on f.word = p.stem where f.n > p.n)
+    select w.text_id, w.tag_idx, w.word, coalesce(l.lemma, w.word) as lemma from w left join l on l.word = w.word""",
 )
 def ann_lemma(spark, sf_dir):
     """Lemma table from the corpus: a form in -s belongs to its more frequent stem."""

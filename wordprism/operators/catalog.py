@@ -104,14 +104,14 @@ def tokens_of_explanation(attribution: DataFrame, occurrence: DataFrame) -> Data
     """Occurrences of the tokens of an explanation.
 
     A token of the explanation that the index does not know is an error, raised
-    by the task that meets it.
+    by the task that meets it. The check needs one row per token of the index, so the
+    occurrences themselves are met by the tokens once.
     """
     wanted = attribution.select("token").distinct()
-    found = occurrence.join(wanted, "token", "left_semi")
-    orphans = wanted.join(occurrence.select("token").distinct(), "token", "left_anti")
+    known = occurrence.groupBy("token").agg(F.lit(True).alias("_known"))
     failing = F.raise_error(F.concat(F.lit("no token info for "), F.col("token"))).cast("string")
-    checked = orphans.select(F.coalesce(failing, F.col("token")).alias("token"))
-    return found.unionByName(checked, allowMissingColumns=True)
+    checked = wanted.join(known, "token", "left").select(F.when(F.col("_known"), F.col("token")).otherwise(failing).alias("token"))
+    return occurrence.join(checked, "token", "left_semi")
 
 
 # --- artifact store -------------------------------------------------------------

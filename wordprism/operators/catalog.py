@@ -56,10 +56,14 @@ def _same_model(dataset: str, model: str, layer: int | None) -> Column:
     return (F.col("dataset") == dataset) & (F.col("model") == model) & block
 
 
-def methods(catalog: DataFrame, dataset: str, model: str, layer: int | None, kind: str) -> DataFrame:
-    """Projection or explanation methods that exist for a model, by name."""
-    rows = catalog.where(_same_model(dataset, model, layer) & (F.col("kind") == kind))
-    return rows.select("method").distinct().orderBy("method")
+def with_methods(rows: DataFrame, catalog: DataFrame, dataset: str, model: str, layer: int | None) -> DataFrame:
+    """Add ``projections`` and ``explanations``: the methods that exist for a model, by name, as every reply lists them."""
+    own = catalog.where(_same_model(dataset, model, layer))
+
+    def listed(kind: str) -> Column:
+        return own.agg(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("method"))))).scalar()
+
+    return rows.withColumn("projections", listed("sentence")).withColumn("explanations", listed("class"))
 
 
 def filter_model(catalog: DataFrame, dataset: str, model: str, layer: int | None) -> DataFrame:
@@ -82,16 +86,17 @@ def filter_model(catalog: DataFrame, dataset: str, model: str, layer: int | None
 
 
 def filter_projection(catalog: DataFrame, dataset: str, model: str, layer: int | None, method: str) -> DataFrame:
-    """Artifacts for a change of projection: the texts and the named projection."""
+    """Artifacts for a change of projection: the texts and the named projection, with the method lists."""
     wanted = _same_model(dataset, model, layer) & (F.col("kind") == "sentence") & (F.col("method") == method)
-    return catalog.where(wanted | ((F.col("dataset") == dataset) & (F.col("kind") == "text")))
+    rows = catalog.where(wanted | ((F.col("dataset") == dataset) & (F.col("kind") == "text")))
+    return with_methods(rows, catalog, dataset, model, layer)
 
 
 def filter_explanation(catalog: DataFrame, dataset: str, model: str, layer: int | None, method: str) -> DataFrame:
-    """Artifacts for a change of explanation: token info and the named explanation."""
+    """Artifacts for a change of explanation: token info and the named explanation, with the method lists."""
     wanted = _same_model(dataset, model, layer) & (F.col("kind") == "class") & (F.col("method") == method)
     tokens = (F.col("dataset") == dataset) & (F.col("kind") == "token") & (F.col("model") == model)
-    return catalog.where(wanted | tokens)
+    return with_methods(catalog.where(wanted | tokens), catalog, dataset, model, layer)
 
 
 def label_projection(projection: DataFrame, texts: DataFrame) -> DataFrame:

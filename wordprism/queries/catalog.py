@@ -80,20 +80,30 @@ def cat_filter_model(spark, sf_dir):
     return rows.withColumn("methods", F.array_join("methods", ","))
 
 
+_LISTS = ", ".join(
+    f"(select coalesce(string_agg(distinct method, ',' order by method), '') from artifact where {_BLOCK} and kind = '{kind}') as {name}"
+    for kind, name in (("sentence", "projections"), ("class", "explanations"))
+)
+
+
+def _joined(rows):
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("projections", "explanations")})
+
+
 @query(
     "cat_filter_projection",
-    f"select * from artifact where ({_TEXT}) or ({_BLOCK} and kind = 'sentence' and method = 'UMAP')",
+    f"select *, {_LISTS} from artifact where ({_TEXT}) or ({_BLOCK} and kind = 'sentence' and method = 'UMAP')",
 )
 def cat_filter_projection(spark, sf_dir):
-    return cat.filter_projection(parsed(spark, sf_dir), *_ONE, "UMAP")
+    return _joined(cat.filter_projection(parsed(spark, sf_dir), *_ONE, "UMAP"))
 
 
 @query(
     "cat_filter_explanation",
-    f"select * from artifact where ({_TOKEN}) or ({_BLOCK} and kind = 'class' and method = 'SHAP')",
+    f"select *, {_LISTS} from artifact where ({_TOKEN}) or ({_BLOCK} and kind = 'class' and method = 'SHAP')",
 )
 def cat_filter_explanation(spark, sf_dir):
-    return cat.filter_explanation(parsed(spark, sf_dir), *_ONE, "SHAP")
+    return _joined(cat.filter_explanation(parsed(spark, sf_dir), *_ONE, "SHAP"))
 
 
 @query(

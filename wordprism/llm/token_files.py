@@ -49,6 +49,7 @@ def _unpack(payload: memoryview) -> tuple[list[int | None], np.ndarray, list[mem
 
 def _coded(path: str, end_id: int, batch_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.release()
         encoder, file = T.encoder(path), TaskContext.get().partitionId()
         number, waiting, held = 0, [], 0  # closed segments that wait for coding
         docs: list[int | None] = []
@@ -135,6 +136,7 @@ def _decoded(batch_ids: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "segment", "place", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.release()
         held: list[tuple] = []
         size = 0
         for batch in batches:

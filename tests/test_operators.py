@@ -267,6 +267,35 @@ def test_projections(spark):
         assert silhouette_by_hand(placed, [0] * 30 + [1] * 30) > 0.4
 
 
+@pytest.mark.parametrize("n, size", [(40, 0.1), (400, 20.0), (3000, 90.0)])
+def test_push_against_exact_sums(spark, n, size):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 2)) * size / 6 + rng.integers(0, 3, (n, 1)) * size / 4
+    spots = spark.createDataFrame([(i, *map(float, v), 0.0, 0.0, 1.0, 1.0) for i, v in enumerate(x)], layout._FIELDS)
+    pushed, total = layout.repulsion(spots)
+    got = np.array([(r["px"], r["py"]) for r in pushed.orderBy("node").collect()])
+    d = x[:, None] - x[None]
+    near = 1 / (1 + (d**2).sum(-1))
+    exact = (d * near[..., None] ** 2).sum(axis=1)
+    assert abs(total - (near.sum() - n)) < 0.01 * (near.sum() - n)
+    assert np.sqrt(((got - exact) ** 2).sum() / (exact**2).sum()) < 0.01
+
+
+def test_tsne_settles(spark, monkeypatch):
+    monkeypatch.setattr(layout, "EARLY", 10)
+    monkeypatch.setattr(layout, "CHECKED", 8)
+    monkeypatch.setattr(layout, "SETTLED", 0.05)
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(40, 5)) + 8 * k for k in range(3)])
+    df = spark.createDataFrame([(f"p{i:03d}", v.tolist()) for i, v in enumerate(x)], "text_id string, vec array<double>")
+    report = {}
+    placed = np.array([(r["x"], r["y"]) for r in layout.tsne(df, perplexity=10, report=report).orderBy("text_id").collect()])
+    seen = report["divergence"]
+    assert seen[-1] < 0.7 * seen[0] and report["epochs"][-1] < layout.MOST_EPOCHS - 1
+    assert seen[-2] - seen[-1] < layout.SETTLED * seen[-1]
+    assert silhouette_by_hand(placed, [0] * 40 + [1] * 40 + [2] * 40) > 0.6
+
+
 def test_layouts_of_few_rows(spark):
     schema = "text_id string, vec array<double>"
     for method in (layout.tsne, layout.umap):

@@ -651,3 +651,12 @@ def test_texts_without_words_stay(spark):
     mixed = spark.createDataFrame([("a", 1, 2.0), ("a", 0, 1.0)], "text_id string, topic int, weight double")
     names = spark.createDataFrame([(0, "none"), (1, "sky")], "topic int, name string")
     assert dict(assign_topics(mixed, names, texts).collect()) == {"a": "sky", "b": "none", "c": "none"}
+
+
+def test_package_travels_as_an_archive(spark):
+    import zipfile
+
+    from wordprism.session import ship
+
+    names = zipfile.ZipFile(ship(spark)).namelist()
+    assert {"wordprism/__init__.py", "wordprism/session.py", "wordprism/operators/svm.py"} <= set(names) and all(n.endswith(".py") for n in names)

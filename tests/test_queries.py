@@ -14,7 +14,9 @@ SF = "sf0.001"
 QUICK = (
     "src_corpus", "prj_onehot_label", "fn_map_text", "flt_stop_words", "tok_spans", "tok_vocab", "agg_iqr_filter",
     "agg_zipf_filter", "emb_token_norm", "smp_quota", "smp_stratified", "agg_silhouette", "ml_knn", "cat_filter_model",
-    "sel_lasso", "q_word_refilter", "q_page",
+    "sel_lasso", "q_word_refilter", "q_page", "ann_align", "ann_lemma", "idx_inverted", "emb_mean_pool", "sel_lasso_many",
+    "cat_filter_projection", "cat_filter_explanation", "ml_linear_classifier", "ml_shap", "agg_infidelity", "snk_explanation_rows",
+    "jn_token_explanation",
 )
 present = pytest.mark.skipif(not os.path.isdir(f"{oracle_check.ROOT}/{SF}"), reason="no test tables")
 
@@ -35,7 +37,7 @@ def test_every_oracle_has_a_query():
 
 
 @present
-@pytest.mark.parametrize("name", ("tok_spans", "agg_zipf_filter", "idx_inverted", "sel_lasso", "emb_token_norm", "q_word_refilter"))
+@pytest.mark.parametrize("name", ("tok_spans", "agg_zipf_filter", "idx_inverted", "sel_lasso", "emb_token_norm", "q_word_refilter", "ml_knn", "sel_lasso_many", "ann_align"))
 def test_plans_have_no_cross_join(spark, name):
     plan = QUERIES[name](spark, f"{oracle_check.ROOT}/{SF}")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -383,22 +383,47 @@ def jn_token_explanation(spark, sf_dir):
     return cat.tokens_of_explanation(scores, spans(spark, sf_dir)).select("text_id", "label", "pos", "token", "start", "end")
 
 
-@query("snk_explanation", """select 'SHAP' as method, "class", token, round(score, 6) as score from attribution""")
-def snk_explanation(spark, sf_dir):
-    """Attribution, class report and row report, written and read back by method."""
+def explained_rows(s: Setting, model: classify.LinearModel, predictions: DataFrame, phi: DataFrame) -> DataFrame:
+    """The record of every explained row: original and predicted label, its probability, and the infidelity."""
+    measured = explain.infidelity(s.values, predictions, phi, model)
+    return predictions.select("text_id", "label", "predicted", "predicted_prob").join(measured, "text_id")
+
+
+def saved_explanation(spark, sf_dir) -> str:
+    """Attribution, class report and row records by method in a new store; returns its folder."""
     s, model, predictions, phi = explained(spark, sf_dir)
-    method = F.lit("SHAP").alias("method")
-    root = scratch_path(spark, "artifacts")
+    method, root = F.lit("SHAP").alias("method"), scratch_path(spark, "artifacts")
     cat.save_explanation(
         explain.class_attribution(phi, predictions, model).select(method, "class", "token", "score"),
         stats.class_report(predictions, model.classes).select(method, "class", "precision", "recall", "f1", "accuracy"),
-        explain.infidelity(s.values, predictions, phi, model).select(method, "text_id", "infidelity"),
+        explained_rows(s, model, predictions, phi).select(method, "*"),
         root, "documents", "hashed", 0,
     )
-    rows = cat.scan(spark, root, "explanation", dataset="documents", model="hashed", layer=0, method="SHAP")
+    return root
+
+
+_STORED = {"dataset": "documents", "model": "hashed", "layer": 0, "method": "SHAP"}
+
+
+@query("snk_explanation", """select 'SHAP' as method, "class", token, round(score, 6) as score from attribution""")
+def snk_explanation(spark, sf_dir):
+    """Attributions, written with their reports and read back by method."""
+    rows = cat.scan(spark, saved_explanation(spark, sf_dir), "explanation", **_STORED)
     return _rounded(rows.select("method", "class", "token", "score"), ("score",))
 
 
+@query(
+    "snk_explanation_rows",
+    """select 'SHAP' as method, text_id, label, predicted, round(predicted_prob, 6) as predicted_prob, round(infidelity, 6) as infidelity
+       from predicted join infidel using (text_id)""",
+)
+def snk_explanation_rows(spark, sf_dir):
+    """The records of the explained rows, read back from the same store."""
+    rows = cat.scan(spark, saved_explanation(spark, sf_dir), "explanation_report", **_STORED)
+    rows = rows.select("method", "text_id", "label", "predicted", "predicted_prob", "infidelity")
+    return _rounded(rows, ("predicted_prob", "infidelity"))
+
+
 @query("snk_svm_explanation")
 def snk_svm_explanation(spark, sf_dir):
     """LIME and SHAP of the SVM with its class report and infidelities, written and read back by method."""
@@ -414,7 +439,7 @@ def snk_svm_explanation(spark, sf_dir):
         cat.save_explanation(
             explain.class_attribution(phi, predictions, model).select(method, "class", "token", "score"),
             stats.class_report(predictions, model.classes).select(method, "class", "precision", "recall", "f1", "accuracy"),
-            explain.infidelity(s.values, predictions, phi, model).select(method, "text_id", "infidelity"),
+            explained_rows(s, model, predictions, phi).select(method, "*"),
             root, "documents", "hashed", 0,
         )
     return cat.scan(spark, root, "explanation", dataset="documents", model="hashed", layer=0).select("method", "class", "token", "score")

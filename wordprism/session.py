@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +30,22 @@ def build_session(app: str = "wordprism", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package to all executors as a zip archive, for clusters where it is not installed; returns its name.
+
+    Spark copies the archive from the driver into each executor's own work folder.
+    """
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="wordprism-"), f"{os.path.basename(here)}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only in local mode."""
     context = spark.sparkContext

@@ -174,8 +174,8 @@ def fit_svd(matrix: DataFrame, texts: DataFrame, terms: DataFrame, topics: int =
 
 
 def topic_words(components: DataFrame, words: int = WORDS_PER_TOPIC) -> DataFrame:
-    """``topic, name``: the heaviest words of a topic joined by dashes."""
-    best = Window.partitionBy("topic").orderBy(F.desc("weight"), "term")
+    """``topic, name``: the heaviest words of a topic joined by dashes; weights that agree to nine decimals go by term."""
+    best = Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 9)), "term")
     top = components.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= words)
     listed = top.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("_rn", "term"))).alias("l"))
     return listed.select("topic", F.array_join(F.transform("l", lambda x: x["term"]), "-").alias("name"))

@@ -67,11 +67,45 @@ def ml_nmf(spark, sf_dir):
     return topics.assign_topics(mixed, topics.topic_words(components), texts(spark, sf_dir))
 
 
-@query("ml_svd")
+def svd_sql(steps: int = 300) -> str:
+    """Main axes of the moments of the TF-IDF cells by power iteration, one after the other; names and texts as in ``assign_topics``."""
+    diagonal = "list_transform(range(1, len(m) + 1), lambda i: m[i][i])"
+    parts = [
+        "moment as materialized (select a.idx as i, b.idx as j, sum(a.weight * b.weight) as c from tfidf a join tfidf b using (text_id) group by 1, 2)",
+        "moment_row as (select x.idx as i, list(coalesce(c, 0) order by y.idx) as r from terms x cross join terms y left join moment on i = x.idx and j = y.idx group by x.idx)",
+        "m0 as materialized (select list(r order by i) as m from moment_row)",
+    ]
+    for t in range(topics.TOPICS):
+        parts += [
+            f"""p{t} as (
+    select 0 as k, m[list_position(d, list_max(d))] as v from (select m, {diagonal} as d from m{t}) union all
+    select k + 1, list_transform(y, lambda z: z / sqrt(list_inner_product(y, y)))
+    from (select k, list_transform(m, lambda r: list_inner_product(r, v)) as y from p{t}, m{t} where k < {steps}))""",
+            f"""u{t} as materialized (
+    select list_transform(v, lambda z: z * sign(v[list_position(a, list_max(a))])) as u from (select v, list_transform(v, lambda z: abs(z)) as a from p{t} where k = {steps}))""",
+            f"""m{t + 1} as materialized (
+    select list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * u[i] * u[j])) as m
+    from (select m, u, list_inner_product(list_transform(m, lambda r: list_inner_product(r, u)), u) as l from m{t}, u{t}))""",
+        ]
+    axes = " union all ".join(f"select {t} as topic, unnest(u) as w, unnest(range(len(u))) as idx from u{t}" for t in range(topics.TOPICS))
+    parts += [
+        f"axis as materialized ({axes})",
+        f"""axis_name as (
+    select topic, string_agg(term, '-' order by rn) as name
+    from (select topic, term, row_number() over (partition by topic order by round(w, 9) desc, term) as rn from axis join terms using (idx)) where rn <= {topics.WORDS_PER_TOPIC} group by topic)""",
+        """axis_best as (
+    select text_id, topic from (select text_id, topic, sum(weight * w) as s from tfidf join axis using (idx) group by 1, 2)
+    qualify row_number() over (partition by text_id order by round(s, 9) desc, topic) = 1)""",
+    ]
+    chosen = "select text_id, name as topic from (select text_id, coalesce(axis_best.topic, 0) as topic from texts left join axis_best using (text_id)) join axis_name using (topic)"
+    return "recursive with " + ",\n".join(parts) + "\n" + chosen
+
+
+@query("ml_svd", svd_sql())
 def ml_svd(spark, sf_dir):
     rows, terms, matrix = weighted(spark, sf_dir)
     components, scores = topics.fit_svd(matrix, rows, terms)
-    return topics.assign_topics(scores, topics.topic_words(components), rows)
+    return topics.assign_topics(scores.withColumn("weight", F.round("weight", 9)), topics.topic_words(components), rows)
 
 
 # Languages stand in for fitted topics: their weights are sums of TF-IDF cells.

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from wordprism.llm import decontaminate, ngram_join, quality_gam, source_mix, token_files
 from wordprism.session import scratch_path
 
-TOKEN_BATCH = 1 << 20  # ids coded in step; the workers still hold what earlier stages left
+TOKEN_BATCH = 1 << 19  # ids coded in step; executors still hold what earlier stages left
+TOKEN_CACHE = 400_000  # pieces of text that a worker remembers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Coded token files; per document what is read back from them."""
-    return token_files.encode_documents(docs, batch_ids=TOKEN_BATCH)
+    return token_files.encode_documents(docs, batch_ids=TOKEN_BATCH, cache_chunks=TOKEN_CACHE)
 
 
 STAGES = [

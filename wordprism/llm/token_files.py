@@ -47,10 +47,10 @@ def _unpack(payload: memoryview) -> tuple[list[int | None], np.ndarray, list[mem
     return [None if x else int(d) for d, x in zip(docs, null)], sizes, blocks
 
 
-def _coded(path: str, end_id: int, batch_ids: int):
+def _coded(path: str, end_id: int, batch_ids: int, cache_chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.release()
-        encoder, file = T.encoder(path), TaskContext.get().partitionId()
+        encoder, file = T.encoder(path, cache_chunks=cache_chunks), TaskContext.get().partitionId()
         number, waiting, held = 0, [], 0  # closed segments that wait for coding
         docs: list[int | None] = []
         sizes: list[int] = []
@@ -102,7 +102,7 @@ def _coded(path: str, end_id: int, batch_ids: int):
     return run
 
 
-def write_coded(docs: DataFrame, path: str | None = None, end_id: int = END_ID, to: str | None = None, batch_ids: int = BATCH_IDS) -> str:
+def write_coded(docs: DataFrame, path: str | None = None, end_id: int = END_ID, to: str | None = None, batch_ids: int = BATCH_IDS, cache_chunks: int = T.CACHE_CHUNKS) -> str:
     """Write ``docs`` (doc_id, text) as coded segments in ascending doc_id order; returns the folder.
 
     Rows are range partitioned by doc_id (null first, rows that repeat an id by a
@@ -113,7 +113,7 @@ def write_coded(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     path, to = path or T.vocabulary_path(), to or scratch_path(docs.sparkSession, "token-segments")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tag"))
     rows = rows.repartitionByRange("doc_id", "_tag").sortWithinPartitions("doc_id", "_tag", "text").select("doc_id", "text")
-    rows.mapInArrow(_coded(path, end_id, batch_ids), _SEGMENT).write.parquet(to)
+    rows.mapInArrow(_coded(path, end_id, batch_ids, cache_chunks), _SEGMENT).write.parquet(to)
     return to
 
 
@@ -188,14 +188,16 @@ def read_index(segments: DataFrame, batch_ids: int = BATCH_IDS) -> DataFrame:
     )
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID, batch_ids: int = BATCH_IDS) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, path: str | None = None, end_id: int = END_ID, batch_ids: int = BATCH_IDS, cache_chunks: int = T.CACHE_CHUNKS,
+) -> DataFrame:
     """Write all ``docs`` as coded segments, read them back: ``doc_id, start, n_tokens, ids_crc32``.
 
     Ids come from the tokenizers library (its special strings in a text are
     special tokens), ``end_id`` closes each document. Null text: the end id alone.
     Null doc_id: first. Repeated rows: one document each. No rows: no rows. Other
-    columns are ignored. ``batch_ids`` are coded in step: more take more memory
-    and less time; the result does not depend on it.
+    columns are ignored. ``batch_ids`` are coded in step and ``cache_chunks`` pieces of text
+    remembered: more take more memory and less time; the result does not depend on them.
     """
-    to = write_coded(docs, path, end_id, batch_ids=batch_ids)
+    to = write_coded(docs, path, end_id, batch_ids=batch_ids, cache_chunks=cache_chunks)
     return read_index(docs.sparkSession.read.schema(_SEGMENT).parquet(to), batch_ids)

@@ -157,6 +157,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, plain_specials: bool = False) -> Encoder:
+def encoder(path: str, plain_specials: bool = False, cache_chunks: int = CACHE_CHUNKS) -> Encoder:
     """The encoder of this worker, with its cache."""
-    return Encoder(path, plain_specials)
+    return Encoder(path, plain_specials, cache_chunks)

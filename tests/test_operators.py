@@ -617,6 +617,21 @@ def test_folder_and_stories(spark, tmp_path):
     assert got == [("TinyStories_3", "onetwo"), ("TinyStories_6", "three")]
 
 
+def test_one_file_per_row(spark, tmp_path):
+    from wordprism.sources.folders import write_folders
+
+    data = [("a b c", "x+1", "one\ntwo", 1), ("a b c", "né.w", "", 2), ("é", "z", None, 3), ("é", "100%", "x" * 30, 4)]
+    df = spark.createDataFrame(data, "folder string, name string, text string, extra int").repartition(3)
+    for root in (str(tmp_path / "one"), f"file://{tmp_path}/two"):
+        write_folders(df, root)
+        write_folders(df.limit(1), root)  # a task that runs again
+        got = rows(corpus.folder_corpus(spark, root, prefix="p"), "text_id", "label", "text")
+        assert got == [("p_a b c_x+1", "a b c", "one two"), ("p_é_100%", "é", "x" * 30)]
+    assert len(list((tmp_path / "one").glob("*/*.txt"))) == 4
+    with pytest.raises(Exception, match="no name"):
+        write_folders(spark.createDataFrame([("a/b", "x", "y")], "folder string, name string, text string"), str(tmp_path / "three"))
+
+
 def test_token_map(spark, tmp_path):
     path = tmp_path / "map.txt"
     path.write_text("a  b\nc\na\td\n")

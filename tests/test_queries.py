@@ -16,7 +16,7 @@ QUICK = (
     "agg_zipf_filter", "emb_token_norm", "smp_quota", "smp_stratified", "agg_silhouette", "ml_knn", "cat_filter_model",
     "sel_lasso", "q_word_refilter", "q_page", "ann_align", "ann_lemma", "idx_inverted", "emb_mean_pool", "sel_lasso_many",
     "cat_filter_projection", "cat_filter_explanation", "ml_linear_classifier", "ml_shap", "agg_infidelity", "snk_explanation_rows",
-    "jn_token_explanation",
+    "jn_token_explanation", "src_folder_corpus", "ml_pca", "ml_svd",
 )
 present = pytest.mark.skipif(not os.path.isdir(f"{oracle_check.ROOT}/{SF}"), reason="no test tables")
 

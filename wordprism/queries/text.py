@@ -15,7 +15,7 @@ from wordprism.sources import stopwords
 _STRIP = r"regexp_replace(regexp_replace({0}, '^[ \t\n\v\f\r]+', ''), '[ \t\n\v\f\r]+$', '')"
 
 
-def _strip(x: str) -> str:
+def stripped_sql(x: str) -> str:
     return _STRIP.format(x)
 
 
@@ -44,7 +44,7 @@ def snk_text(spark, sf_dir):
     return cat.scan(spark, root, "text", dataset="documents").drop("dataset")
 
 
-@query("prj_title_text", f"select p_partkey, {_strip('p_name')} || ' ' || {_strip('p_type')} as text from part")
+@query("prj_title_text", f"select p_partkey, {stripped_sql('p_name')} || ' ' || {stripped_sql('p_type')} as text from part")
 def prj_title_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.title_and_text("p_name", "p_type").alias("text"))
 
@@ -103,7 +103,7 @@ def flt_text_length(spark, sf_dir):
 _JOINED = r"regexp_replace(text, '\n+', ' ', 'g')"
 
 
-@query("fn_squash_newlines", f"select doc_id, {_strip(_JOINED)} as text from documents")
+@query("fn_squash_newlines", f"select doc_id, {stripped_sql(_JOINED)} as text from documents")
 def fn_squash_newlines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.squash_newlines("text").alias("text"))
 

@@ -120,24 +120,23 @@ def named_entities(tagged: DataFrame, gazetteer: DataFrame | None = None, other:
     """Add ``entity``: runs of capitalised words, named by the gazetteer.
 
     Neighbouring proper nouns form one run. Its name is looked up (``name,
-    entity``, lower case, words joined by blanks) and falls back to ``other``.
+    entity``, lower case, words joined by blanks) and falls back to ``other``. Only
+    proper nouns are moved, once, to the other words of their text.
     """
-    order = Window.partitionBy("text_id").orderBy("tag_idx")
     proper = F.col("tag") == "NNP"
-    opens = proper & ~F.coalesce(F.lag(proper).over(order), F.lit(False))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    runs = tagged.withColumn("_run", F.when(proper, F.sum(opens.cast("int")).over(running)))
     if gazetteer is None:
-        return runs.withColumn("entity", F.when(proper, other)).drop("_run")
-    names = (
-        runs.where(F.col("_run").isNotNull())
-        .groupBy("text_id", "_run")
-        .agg(F.array_sort(F.collect_list(F.struct("tag_idx", F.lower("word").alias("w")))).alias("_words"))
-        .select("text_id", "_run", F.array_join(F.transform("_words", lambda x: x["w"]), " ").alias("name"))
-    )
-    found = names.join(gazetteer.select("name", F.col("entity").alias("_entity")), "name", "left").drop("name")
-    joined = runs.join(found, ["text_id", "_run"], "left")
-    return joined.select(*tagged.columns, F.when(proper, F.coalesce("_entity", F.lit(other))).alias("entity"))
+        return tagged.withColumn("entity", F.when(proper, other))
+    order = Window.partitionBy("text_id").orderBy("tag_idx")
+    runs = tagged.where(proper).withColumn("_before", F.lag("tag_idx").over(order))
+    opens = F.col("_before").isNull() | (F.col("tag_idx") - F.col("_before") > 1)
+    runs = runs.withColumn("_run", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # a run lies in the task of its text already, so its words are gathered without moving them again
+    listed = F.array_sort(F.collect_list(F.struct("tag_idx", F.lower("word").alias("w"))).over(Window.partitionBy("text_id", "_run")))
+    name = F.when(F.col("text_id").isNotNull(), F.array_join(F.transform(listed, lambda x: x["w"]), " "))
+    named = runs.withColumn("_name", name).join(gazetteer.select(F.col("name").alias("_name"), F.col("entity").alias("_entity")), "_name", "left")
+    named = named.select(*tagged.columns, F.coalesce("_entity", F.lit(other)).alias("entity"))
+    rest = tagged.where(~F.coalesce(proper, F.lit(False))).withColumn("entity", F.lit(None).cast("string"))
+    return named.unionByName(rest)
 
 
 def stemmed(word: Column | str) -> Column:

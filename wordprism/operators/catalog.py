@@ -122,15 +122,27 @@ def tokens_of_explanation(attribution: DataFrame, occurrence: DataFrame) -> Data
 # --- artifact store -------------------------------------------------------------
 
 
+# Number columns repeat: dictionaries of up to 4 MB, tested on pages of up to 8 MB, keep them small and exact.
+_PARQUET = {"parquet.dictionary.page.size": 1 << 22, "parquet.page.size": 1 << 23, "parquet.page.row.count.limit": 1 << 18}
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def write_artifact(df: DataFrame, root: str, name: str, partitions: tuple[str, ...] = (), mode: str = "overwrite") -> None:
     """Write one kind of artifact as parquet, partitioned for pruned reads.
 
-    Only the partitions present in ``df`` are replaced.
+    Only the partitions present in ``df`` are replaced. A task keeps the files of its first
+    partitions open and sorts rows only beyond them, so a table of few partitions is written as it comes.
     """
-    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    conf = df.sparkSession.conf
+    before = conf.get(_OPEN_FILES)
+    writer = df.write.mode(mode).options(**_PARQUET).option("partitionOverwriteMode", "dynamic")
     if partitions:
         writer = writer.partitionBy(*partitions)
-    writer.parquet(f"{root.rstrip('/')}/{name}")
+    conf.set(_OPEN_FILES, "16")
+    try:
+        writer.parquet(f"{root.rstrip('/')}/{name}")
+    finally:
+        conf.set(_OPEN_FILES, before)
 
 
 def _keyed(df: DataFrame, **keys) -> DataFrame:

@@ -112,3 +112,11 @@ def test_features_are_written_without_a_sort(spark, tmp_path):
     assert int(sorts[0]) > 0 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == listener_conf
     back = catalog.scan(spark, str(tmp_path), "features", layer=2)
     assert back.count() == 5 and sorted(r["token"] for r in back.collect()) == list("abcde")
+
+
+def test_noise_is_drawn_by_key(spark):
+    keys = [b"t_1:cat", "t_2:été".encode()]
+    noise = explain.gaussian_noise(1537, keys, 3)
+    unit = "(cast(conv(substr(md5('1537:t_2:été:1:{0}'), 1, 12), 16, 10) as double) + 0.5) / 281474976710656D"
+    sql = f"select sqrt(-2 * ln({unit.format('u')})) * cos(2 * pi() * {unit.format('v')})"
+    assert noise.shape == (2, 3) and noise[1, 1] == pytest.approx(spark.sql(sql).first()[0], abs=1e-12)

@@ -6,6 +6,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -539,6 +540,17 @@ def test_sigmoids_settle_at_the_least_loss(spark):
         classify.fit_sigmoids(spark.createDataFrame(table, "class string, m double, hit boolean"), most_steps=1)
 
 
+def test_svm_blocks_hold_back_where_they_agreed():
+    rows = pd.DataFrame({"text_id": ["t_0", "t_1"], "y": [0, 1], "idx": [[-1], [3]], "val": [[1.0], [1.0]]})
+    known = pd.DataFrame({"kind": [0, 0], "idx": [-1, 3], "text_id": None, "v": [[0.0, 0.0]] * 2, "h": [[4.0, 4.0], [1.0, 1.0]]})
+    block = svm._Block(rows, known, 2)
+    moves, change = block.ascend(1.0, np.array([1.0, 0.0]), 1e-9, (0, 0))
+    assert moves.tolist() == [[0.25, 0.0], [1.0, 0.0]]  # as if four blocks moved the first weight; the settled class stays
+    assert change.tolist() == [[0.25, 0.0], [-1.0, 0.0]]
+    block.w[:, 0], block.alpha[:, 0] = [1.0, -1.0], 1.0
+    assert not np.any(block.ascend(1.0, np.array([1.0, 0.0]), 1e-9, (1, 0))[0])
+
+
 def test_queries_predict_and_explain_with_the_svm(spark, monkeypatch):
     """k0 separates the classes; k1 moves the class centroids but says less."""
     from wordprism.queries import explain as queries

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordprism.operators import annotate, catalog, classify, embed, explain, geometry
+from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, svm
 from wordprism.plans import blocks
 
 
@@ -120,3 +120,21 @@ def test_noise_is_drawn_by_key(spark):
     unit = "(cast(conv(substr(md5('1537:t_2:été:1:{0}'), 1, 12), 16, 10) as double) + 0.5) / 281474976710656D"
     sql = f"select sqrt(-2 * ln({unit.format('u')})) * cos(2 * pi() * {unit.format('v')})"
     assert noise.shape == (2, 3) and noise[1, 1] == pytest.approx(spark.sql(sql).first()[0], abs=1e-12)
+
+
+def test_svm_blocks_are_solved_in_tasks_of_their_own(spark, monkeypatch):
+    data = spark.createDataFrame([(f"t_{i}", "ab"[i % 2]) for i in range(40)], "text_id string, label string")
+    values = spark.createDataFrame([(f"t_{i}", f"k{i % 2}", 1.0) for i in range(40)], "text_id string, token string, value double")
+    vocab = spark.createDataFrame([("k0", 0), ("k1", 1)], "token string, idx long")
+    rounds, real = [], svm.stored
+
+    def spied(df, name):
+        kept = real(df, name)
+        if name == "round":
+            rounds.append(kept)
+        return kept
+
+    monkeypatch.setattr(svm, "stored", spied)
+    svm.fit_dual(values, data, vocab, block_cells=40)  # 80 cells
+    files = rounds[0].where("kind = 2").select("block", F.input_file_name().alias("file"))  # a task writes one file
+    assert files.count() == files.select("file").distinct().count() == 2

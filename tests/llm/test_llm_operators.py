@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wordprism.llm import block_neighbours, decontaminate, ngram_join, quality_gam, separator_scan, shard_tree, source_mix, substring_dedup, token_coder, token_files, token_ids, url_filter
+from wordprism.llm import block_neighbours, decontaminate, minhash_dedup, ngram_join, quality_gam, separator_scan, shard_tree, source_mix, substring_dedup, token_coder, token_files, token_ids, url_filter
 from wordprism.llm import words as W
 from wordprism.llm.components import components
 
@@ -456,3 +456,29 @@ def test_wavelet_and_index():
     tree = substring_dedup.WaveletTree(symbols, 13)
     who, at = rnd.integers(0, 13, 200), rnd.integers(0, 701, 200)
     assert tree.rank(who, at).tolist() == [int((symbols[:a] == s).sum()) for s, a in zip(who, at)]
+
+
+def test_dense_family_is_joined_up_by_few_links(spark, monkeypatch):
+    """Texts with one change link with all, texts with two changes only with those: pairs across are many, links needed few."""
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for spot in ((5 + 3 * i,) if i % 10 == 7 else (5 + 3 * i, 5 + 3 * ((i + 20) % 60))):
+            words[spot] = f"new{i}"
+        texts.append(" ".join(words))
+    sizes, real = [], minhash_dedup.components
+
+    def counted(links):
+        sizes.append(links.count())
+        return real(links)
+
+    monkeypatch.setattr(minhash_dedup, "components", counted)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    sets = [{tuple(t.split(" ")[k:k + 5]) for k in range(196)} for t in texts]
+    name = list(range(60))
+    for _ in range(60):
+        name = [min(name[j] for j in range(60) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])) for i in range(60)]
+    assert found == dict(enumerate(name)) and len(set(name)) == 1
+    assert max(sizes) <= 2 * len(texts)

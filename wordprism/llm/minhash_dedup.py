@@ -22,6 +22,7 @@ BITS = 2  # low bits kept of each minimum
 LOST = 1e-9  # probability with which the estimate may turn down a pair right at the threshold
 PARITY = 1024  # bits that count the members of a set modulo 2, for an exact bound on the difference of two sets
 FIRST_BANDS = 6  # bands whose links are joined up before the other bands are looked at
+MEETINGS = 8  # most further star passes, each over one drawn class per bucket
 CROWD = 512  # classes of one band that one task compares with the rest of it
 
 _NODE = "xxhash64(fp1, fp2, n)"  # number of a class
@@ -196,7 +197,11 @@ def near_duplicates(
        the one most often the largest, in its bands' buckets. What passes length,
        estimate and parity is verified on the whole sets. Large groups of close
        copies fall into components here, with two pairs a class.
-    3. Across pass, for the first bands and then for the others: in buckets that still
+    3. Further star passes, over buckets that still hold several components: every class
+       meets a drawn class of another component, the one it shares most buckets with, until
+       a pass links nothing. They join up groups whose pairs link only in part,
+       again with one pair a class.
+    4. Across pass, for the first bands and then for the others: in buckets that still
        hold several components, all classes of different components meet. A large
        bucket is dealt to blocks of about ``CROWD`` classes, each of which meets the
        bucket in a task of its own. Pairs within a component can't change it and
@@ -223,11 +228,16 @@ def near_duplicates(
     card = classes.select("node", F.struct("node", "n", "bits", "odd").alias("card"))
     by_id = lambda name: card.select(F.col("node").alias(name), F.col("card").alias(f"card_{name}"))
 
+    def nearest(shared: DataFrame, tested: DataFrame | None = None) -> DataFrame:
+        """Of rows ``node, side, end, shared`` the end per class and side with most shared buckets, as pairs that look alike."""
+        best = shared.groupBy("node", "side").agg(F.max(F.struct("shared", "end")).alias("best")).select("node", "best.end")
+        pairs = best.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        return pairs.join(by_id("a"), "a").join(by_id("b"), "b").where(_alike("card_a", "card_b", percent, n, bits)).select("a", "b")
+
     star = met.select("node", F.posexplode(F.array("low", "high")).alias("side", "end")).where("node != end")
-    star = star.groupBy("node", "side", "end").agg(F.count(F.lit(1)).alias("shared"))
-    star = star.groupBy("node", "side").agg(F.max(F.struct("shared", "end")).alias("best")).select("node", "best.end")
-    star = star.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-    star = star.join(by_id("a"), "a").join(by_id("b"), "b").where(_alike("card_a", "card_b", percent, n, bits)).select("a", "b")
+    star = nearest(star.groupBy("node", "side", "end").agg(F.count(F.lit(1)).alias("shared")))
 
     names = classes.select("node", "name")
 
@@ -243,11 +253,40 @@ def near_duplicates(
     sets = stored(sets_of(stored(ends_of(star := stored(star, "star")), "wanted")), "sets")
     tops = stored(components(stored(_verified(star, sets, percent), "links")), "components")
     tested = star
+
+    def merged(found: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """The whole sets and components once the links among ``found`` are known, and their number."""
+        wanted = stored(ends_of(found).join(sets.select("node"), "node", "left_anti"), "wanted")
+        more = sets.unionByName(stored(sets_of(wanted), "sets"))
+        placed = stored(_verified(found, more, percent), "links")
+        for end in ("a", "b"):  # links between components: fewer than those between classes
+            placed = placed.join(tops.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+            placed = placed.withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+        roots = stored(components(placed.where("a != b").distinct()), "roots")
+        old = tops.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+        new = roots.join(tops, "node", "left_anti")
+        return more, stored(old.select("node", F.coalesce("root", "component").alias("component")).unionByName(new), "components"), roots.count()
+
+    def still_open(places: DataFrame) -> DataFrame:
+        """``key, band, node, size, c`` of the buckets that hold several components c."""
+        placed = places.join(tops, "node", "left").select("key", "band", "node", "size", F.coalesce("component", "node").alias("c"))
+        several = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
+        return placed.join(several, "key", "left_semi")
+
+    places = met
+    for number in range(MEETINGS):
+        places = stored(still_open(places), "open")
+        drawn = places.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(number)), "node", "c")).alias("d"))
+        shared = places.join(drawn, "key").where("c != d.c").groupBy("node", F.lit(0).alias("side"), F.col("d.node").alias("end"))
+        found = stored(nearest(shared.agg(F.count(F.lit(1)).alias("shared")), tested), "found")
+        if found.isEmpty():
+            break
+        sets, tops, links = merged(found)
+        tested = tested.unionByName(found)
+        if not links:
+            break
     for low, high in ((0, FIRST_BANDS), (FIRST_BANDS, bands)):
-        placed = met.where(F.col("band").between(low, high - 1)).join(tops, "node", "left")
-        placed = placed.select("key", "node", F.coalesce("component", "node").alias("c"), "size")
-        open_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-        rest = placed.join(open_keys, "key", "left_semi").join(card, "node")
+        rest = still_open(places.where(F.col("band").between(low, high - 1))).join(card, "node")
         blocks = F.ceil(F.col("size") / CROWD).cast("int")
         rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("node", "size")
         rest = stored(rest, "open")
@@ -256,10 +295,7 @@ def near_duplicates(
         meet = (F.col("x.node") < F.col("y.node")) & (F.col("cx") != F.col("cy")) & _alike("x", "y", percent, n, bits)
         across = mine.join(other, ["key", "block"]).where(meet).select(*_pairs("x", "y")).distinct()
         across = stored(across.join(tested, ["a", "b"], "left_anti"), "across")
-        wanted = stored(ends_of(across).join(sets.select("node"), "node", "left_anti"), "wanted")
-        sets = sets.unionByName(stored(sets_of(wanted), "sets"))
-        chains = tops.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        tops = stored(components(chains.unionByName(_verified(across, sets, percent))), "components")
+        sets, tops, _ = merged(across)
         tested = tested.unionByName(across)
 
     placed = names.join(tops, "node", "left").select("node", "name", F.coalesce("component", "node").alias("g"))

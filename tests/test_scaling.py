@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, svm
+from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, svm, tokens, topics
 from wordprism.plans import blocks
 
 
@@ -138,3 +138,43 @@ def test_svm_blocks_are_solved_in_tasks_of_their_own(spark, monkeypatch):
     svm.fit_dual(values, data, vocab, block_cells=40)  # 80 cells
     files = rounds[0].where("kind = 2").select("block", F.input_file_name().alias("file"))  # a task writes one file
     assert files.count() == files.select("file").distinct().count() == 2
+
+
+def test_only_usual_words_meet_the_texts(spark, monkeypatch):
+    data = texts(spark, *["Blue sky x@y.org sky", "blue Sea", "rare blue"] * 10).unionByName(texts(spark, "blue sea")).withColumn(
+        "text_id", F.when(F.col("text") != "rare blue", F.col("text_id"))  # ids that repeat, or are null
+    )
+    words = tokens.prepared_words(data)
+    assert sorted(map(tuple, words.collect()), key=str) == sorted(map(tuple, words.distinct().collect()), key=str)
+    seen, real = [], topics.stored
+
+    def spied(df, name):
+        kept = real(df, name)
+        if name == "usual":
+            seen.append({r["term"]: r["total"] for r in kept.collect()})
+        return kept
+
+    monkeypatch.setattr(topics, "stored", spied)
+    terms = topics.count_terms(words, data.withColumn("text_id", F.lit("t")).limit(30))
+    assert seen == [{"blue": 21, "sky": 10, "sea": 11}]  # "rare" is one row, below 5 % of the texts
+    assert {r["term"]: r["df"] for r in terms.collect()} == {"blue": 21, "sky": 10, "sea": 11}
+    matrix = topics.count_matrix(words, terms.where("term != 'blue'"))
+    assert plan(matrix).index("Join") > plan(matrix).index("HashAggregate") and matrix.count() == 21  # joined below the counts
+
+
+def test_vectors_are_written_once(spark, monkeypatch):
+    cells = spark.createDataFrame([(f"t{i}", w, k, 1) for i in range(8) for k, w in enumerate("abcdef") if (i + k) % 2], "text_id string, term string, idx long, n long")
+    terms = cells.select("idx", "term").distinct()
+    names, real = [], topics.stored
+
+    def spied(df, name):
+        names.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(topics, "stored", spied)
+    vectors = topics.term_vectors(cells, cells.select("text_id").distinct(), 6, "n")
+    _, mixed = topics.fit_lda(vectors, terms, 2)
+    assert names.count("vectors") == 1 and mixed.count() == 16
+    weights = cells.select("text_id", "term", "idx", F.col("n").cast("double").alias("weight"))
+    topics.fit_svd(weights, cells.select("text_id").distinct(), terms, 2)
+    assert names.count("vectors") == 2

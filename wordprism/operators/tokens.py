@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wordprism.functions import text as tx
 from wordprism.plans.ranking import with_global_rank
+from wordprism.plans.tables import stored
 
 # A piece is one token with the white space before it. Laid end to end the pieces
 # rebuild the text, so token offsets are running sums of piece lengths.
@@ -142,9 +143,11 @@ def prepared_words(
     when alphabetic and not a stop word, then stemmed and/or replaced by their
     lemma (a table ``word, lemma``).
     """
-    cleaned = texts.select("text_id", tx.strip(F.regexp_replace("text", tx.EMAIL, "")).alias("text"))
-    words = tokens(cleaned, HYPHENATED).select("text_id", _ascii_unpunctuated(F.lower("token")).alias("word"))
-    words = words.where(F.col("word").rlike(r"^\p{L}+$")).distinct()
+    # texts whose id stands in one row only: their words are made distinct within the row
+    several = stored(texts.groupBy("text_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("text_id"), "several")
+    once = _word_rows(texts.where(F.col("text_id").isNotNull()).join(several, "text_id", "left_anti"))
+    more = _word_rows(texts.join(several, "text_id", "left_semi").unionByName(texts.where(F.col("text_id").isNull()))).distinct()
+    words = once.unionByName(more)
     if stop_words is not None:
         words = words.join(stop_words.select("word"), "word", "left_anti")
     if stem or lemmas is not None:
@@ -158,6 +161,14 @@ def prepared_words(
     return words.select("text_id", "word")
 
 
+def _word_rows(texts: DataFrame) -> DataFrame:
+    """``text_id, word``: the alphabetic words of each row, once per row."""
+    plain = F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", tx.EMAIL, "")).otherwise(F.col("text"))
+    found = F.array_distinct(F.regexp_extract_all(tx.strip(plain), F.lit(HYPHENATED), F.lit(0)))
+    words = F.array_distinct(F.transform(found, lambda token: _ascii_unpunctuated(F.lower(token))))
+    return texts.select("text_id", F.explode(words).alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
+
+
 def _ascii_unpunctuated(word: Column) -> Column:
     # The ASCII punctuation marks.
     return F.translate(word, r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""", "")

@@ -23,20 +23,24 @@ def count_terms(words: DataFrame, texts: DataFrame) -> DataFrame:
     """``term, idx, df``: terms of two letters or more within the frequency limits.
 
     At most 1,000 terms, by total count (ties to the smaller term), numbered in order.
+    A word has at least as many rows as texts, so only words with enough rows meet the texts.
     """
     n = texts.agg(F.count(F.lit(1))).scalar()
-    per_text = words.where(F.length("word") >= 2).groupBy("text_id", F.col("word").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-    counts = per_text.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df"))
-    inside = counts.where((F.col("df") >= MIN_SHARE * n) & (F.col("df") <= MAX_SHARE * n))
+    long = words.where(F.length("word") >= 2).select("text_id", F.col("word").alias("term"))
+    totals = long.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    usual = stored(totals.where(F.col("total") >= MIN_SHARE * n), "usual")
+    per_text = long.join(usual.select("term"), "term", "left_semi").distinct()
+    found = per_text.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    inside = found.where((F.col("df") >= MIN_SHARE * n) & (F.col("df") <= MAX_SHARE * n)).join(usual, "term")
     best = inside.orderBy(F.desc("total"), "term").limit(MOST_TERMS)
     order = Window.orderBy("term")  # at most 1,000 rows
     return best.select("term", (F.row_number().over(order) - 1).cast("long").alias("idx"), "df")
 
 
 def count_matrix(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """``text_id, term, idx, n``: sparse counts of the chosen terms."""
-    counted = words.groupBy("text_id", F.col("word").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(terms, "term").select("text_id", "term", "idx", "n")
+    """``text_id, term, idx, n``: sparse counts of the chosen terms; the other words leave before they are counted."""
+    chosen = words.select("text_id", F.col("word").alias("term")).join(terms.select("term", "idx"), "term")
+    return chosen.groupBy("text_id", "term", "idx").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tfidf_matrix(counts: DataFrame, terms: DataFrame, texts: DataFrame) -> DataFrame:
@@ -61,7 +65,11 @@ def term_vectors(matrix: DataFrame, texts: DataFrame, size: int, value: str) ->
 
 
 def fit_lda(vectors: DataFrame, terms: DataFrame, topics: int = TOPICS, seed: int = 1537) -> tuple[DataFrame, DataFrame]:
-    """Online variational LDA: ``topic, term, weight`` and ``text_id, topic, weight``."""
+    """Online variational LDA: ``topic, term, weight`` and ``text_id, topic, weight``.
+
+    Every update passes over the vectors, so they are written once.
+    """
+    vectors = stored(vectors, "vectors")
     model = LDA(k=topics, maxIter=5, optimizer="online", learningOffset=50.0, learningDecay=0.7, subsamplingRate=1.0, seed=seed).fit(vectors)
     mixed = model.transform(vectors).select("text_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
     return _term_table(vectors.sparkSession, model.topicsMatrix().toArray().T, terms), mixed
@@ -159,9 +167,11 @@ def fit_svd(matrix: DataFrame, texts: DataFrame, terms: DataFrame, topics: int =
     """Truncated SVD: ``topic, term, weight`` and ``text_id, topic, weight``.
 
     The second moments of at most 1,000 terms are summed by Spark; the largest
-    loading of a component is positive.
+    loading of a component is positive. Moments and scores read the cells and the
+    vectors, which are written once.
     """
-    vectors = term_vectors(matrix, texts, terms.count(), "weight")
+    matrix = stored(matrix, "matrix")
+    vectors = stored(term_vectors(matrix, texts, terms.count(), "weight"), "vectors")
     n, mean, cov = second_moments(vectors, "features")
     values, axes = np.linalg.eigh(cov * (n - 1) / n + np.outer(mean, mean))
     main = axes[:, np.argsort(values)[::-1][:topics]].T

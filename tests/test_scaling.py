@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, svm, tokens, topics
+from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, svm, tokens, topics, views
 from wordprism.plans import blocks
 
 
@@ -178,3 +178,15 @@ def test_vectors_are_written_once(spark, monkeypatch):
     weights = cells.select("text_id", "term", "idx", F.col("n").cast("double").alias("weight"))
     topics.fit_svd(weights, cells.select("text_id").distinct(), terms, 2)
     assert names.count("vectors") == 2
+
+
+def test_words_are_annotated_once(spark):
+    data = texts(spark, "Re-use the-cat, cat 3rd x-", "the-cat Cat the-cat!", "", None)
+    lookups = annotate.lexicon(spark), annotate.tag_names(spark)
+    none = spark.createDataFrame([("the",)], "word string")
+    single = annotate.occurrences(annotate.named_entities(annotate.pos_tags(annotate.numbered_words(data), *lookups)), none)
+    counted = annotate.counted_words(data)
+    assert counted.count() == counted.select("word").distinct().count()
+    grouped = annotate.occurrences(annotate.named_entities(annotate.pos_tags(counted, *lookups)), none)
+    expected = sorted(map(tuple, views.token_table(single).collect()), key=str)
+    assert sorted(map(tuple, views.token_table(grouped, "n").collect()), key=str) == expected and ("cat", 4, "the-cat") in [r[:3] for r in expected]

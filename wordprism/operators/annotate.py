@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordprism.operators.tokens import HYPHENATED, TOKEN, token_spans, without_stop_words
+from wordprism.operators.tokens import HYPHENATED, TOKEN, token_spans, tokens, without_stop_words
 
 # Closed-class English words and their tags.
 LEXICON = {
@@ -201,6 +201,13 @@ def numbered_words(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.withColumnRenamed("pos", "tag_idx").withColumnRenamed("token", "word")
 
 
+def counted_words(texts: DataFrame) -> DataFrame:
+    """The distinct words of :func:`numbered_words` with their number ``n``; a word stands alone, so places are those within it."""
+    rows = tokens(texts, HYPHENATED).groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    nothing, zero = F.lit(None).cast("string"), F.lit(0)
+    return rows.select(nothing.alias("text_id"), "n", zero.alias("tag_idx"), "word", zero.alias("start"), F.length("word").alias("end"), zero.alias("first"))
+
+
 def word_tokens(tags: DataFrame) -> DataFrame:
     """The model tokens of annotated words, each with its word: what :func:`align` gives for the words of the text.
 

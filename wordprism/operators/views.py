@@ -9,6 +9,7 @@ from wordprism.functions import text as tx
 from wordprism.functions.geometry import rescale
 from wordprism.operators.stats import MOST_WORDS, token_frequency, zipf_filter
 from wordprism.plans.ranking import with_global_rank
+from wordprism.plans.tables import stored
 
 LINKS_PER_CLASS = 5
 PAGE = 10
@@ -99,12 +100,16 @@ def sankey_nodes(links: DataFrame, classes: DataFrame) -> DataFrame:
     return cls.unionByName(tokens.withColumn("fixed_value", F.lit(None).cast("double")))
 
 
-def token_table(occurrence: DataFrame) -> DataFrame:
-    """Per token: ``entries`` and its distinct ``word, tag_desc, entity`` rows."""
+def token_table(occurrence: DataFrame, times: str | None = None) -> DataFrame:
+    """Per token: ``entries`` and its distinct ``word, tag_desc, entity`` rows.
+
+    ``times`` names the column that tells how many occurrences a row stands for (one without it).
+    """
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     per_row = occurrence.groupBy("token", blank("tag_word"), blank("tag_desc"), blank("entity")).agg(
-        F.count(F.lit(1)).alias("_n")
+        (F.sum(times) if times else F.count(F.lit(1))).alias("_n")
     )
+    per_row = stored(per_row, "entries")  # read for the rows and for their sums
     entries = per_row.groupBy("token").agg(F.sum("_n").alias("entries"))
     table = per_row.drop("_n").join(entries, "token")
     part = tx.word_part("token", "tag_word")

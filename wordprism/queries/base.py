@@ -55,6 +55,13 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.occurrences(tagged(spark, sf_dir, ("label",)), stop_words(spark))
 
 
+def word_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index by distinct word: what is annotated depends on the word alone, and ``n`` tells how often it occurs."""
+    rows = annotate.counted_words(texts(spark, sf_dir))
+    with_tags = annotate.pos_tags(rows, annotate.lexicon(spark), annotate.tag_names(spark))
+    return annotate.occurrences(annotate.named_entities(with_tags), stop_words(spark))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content tokens with label and span, where words are not needed."""
     rows = tk.token_spans(texts(spark, sf_dir), keep=("label",))

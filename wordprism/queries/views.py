@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordprism.operators import views
-from wordprism.queries.base import occurrences, plane, spans, texts, zipf_sql
+from wordprism.queries.base import plane, spans, texts, word_occurrences, zipf_sql
 from wordprism.queries.select import POLYGON, chosen, share
 from wordprism.operators import select
 from wordprism.registry import cte, query
@@ -51,7 +51,7 @@ def q_sankey_share(spark, sf_dir):
     join (select token, count(*) as entries from occurrence group by 1) using (token)""",
 )
 def q_token_table(spark, sf_dir):
-    return views.token_table(occurrences(spark, sf_dir)).drop("part")
+    return views.token_table(word_occurrences(spark, sf_dir), "n").drop("part")
 
 
 @query(

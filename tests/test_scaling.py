@@ -190,3 +190,28 @@ def test_words_are_annotated_once(spark):
     grouped = annotate.occurrences(annotate.named_entities(annotate.pos_tags(counted, *lookups)), none)
     expected = sorted(map(tuple, views.token_table(single).collect()), key=str)
     assert sorted(map(tuple, views.token_table(grouped, "n").collect()), key=str) == expected and ("cat", 4, "the-cat") in [r[:3] for r in expected]
+
+
+def tables(spark, path):
+    """The tables that selections read, a few rows each."""
+    docs = [(i, ("chat noir chat", "noir mais", "cat sat", None)[i % 4], ("fr", "en")[i % 2]) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, "fr", [0.1 * i, 0.0]) for i in range(12)], "vec_id long, label string, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+
+
+def test_spans_of_a_selection_are_cut_once(spark, monkeypatch, tmp_path):
+    from wordprism.queries import select as selections
+    from wordprism.queries import views as shown
+
+    cuts, real = [], selections.spans
+
+    def spied(*args):
+        cuts.append(1)
+        return real(*args)
+
+    monkeypatch.setattr(selections, "spans", spied)
+    monkeypatch.setattr(shown, "spans", spied)
+    tables(spark, tmp_path)
+    found = shown.q_span_dedup(spark, str(tmp_path))
+    assert len(cuts) == 1 and found.where("token = 'noir' and start in (0, 5)").count() == 6  # the most frequent word, on ties the later

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wordprism.operators import views
 from wordprism.queries.base import plane, spans, texts, word_occurrences, zipf_sql
-from wordprism.queries.select import POLYGON, chosen, share
+from wordprism.queries.select import POLYGON, chosen, links, share
 from wordprism.operators import select
 from wordprism.registry import cte, query
 
@@ -60,9 +60,10 @@ def q_token_table(spark, sf_dir):
          on s.text_id = t.text_id and s."start" = t."start" where s.view in ('word', 'explanation')""",
 )
 def q_span_dedup(spark, sf_dir):
-    _, rows = chosen(spark, sf_dir)
+    found, occurrence = links(spark, sf_dir)
+    _, rows = chosen(spark, sf_dir, (found, occurrence))
     held = rows.where(F.col("view").isin("word", "explanation")).drop("end", "view")
-    return views.distinct_spans(held.join(spans(spark, sf_dir), ["text_id", "start"]))
+    return views.distinct_spans(held.join(occurrence, ["text_id", "start"]))
 
 
 @query(

@@ -215,3 +215,26 @@ def test_spans_of_a_selection_are_cut_once(spark, monkeypatch, tmp_path):
     tables(spark, tmp_path)
     found = shown.q_span_dedup(spark, str(tmp_path))
     assert len(cuts) == 1 and found.where("token = 'noir' and start in (0, 5)").count() == 6  # the most frequent word, on ties the later
+
+
+def test_explained_tokens_go_to_the_occurrences(spark):
+    scores = spark.createDataFrame([("x", f"k{i}", 1.0) for i in range(3)], "class string, token string, score double")
+    rows = spark.range(200).select(F.concat(F.lit("k"), F.col("id") % 5).alias("token"), F.col("id").cast("string").alias("text_id"))
+    found = catalog.tokens_of_explanation(scores, rows)
+    assert "Exchange hashpartitioning" not in plan(found) and found.count() == 120
+    assert catalog.tokens_of_explanation(scores, rows, rows.select("token")).count() == 120
+    with pytest.raises(Exception, match="k2"):
+        catalog.tokens_of_explanation(scores, rows, rows.select("token").where("token <> 'k2'")).collect()
+
+
+def test_only_kept_tokens_are_weighed(spark, tmp_path):
+    from wordprism.queries import base
+
+    tables(spark, tmp_path)
+    whole = base.token_weights(spark, str(tmp_path))
+    kept = whole.select("token").distinct().orderBy("token").limit(2)
+    own = base.token_weights(spark, str(tmp_path), kept=kept)
+    order = ["text_id", "token"]
+    assert own.orderBy(*order).collect() == whole.join(kept, "token", "left_semi").select(*whole.columns).orderBy(*order).collect()
+    shown = plan(own)  # the join stands below the means
+    assert shown.index("LeftSemi") > shown.index("HashAggregate")

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordprism.plans.tables import stored
+
 # Name parts of the artifact kinds.
 #   <dataset>-<n>_text
 #   <dataset>-<n>_<model>_token_info
@@ -105,18 +107,21 @@ def label_projection(projection: DataFrame, texts: DataFrame) -> DataFrame:
     return projection.join(texts.select("text_id", label.alias("label")), "text_id")
 
 
-def tokens_of_explanation(attribution: DataFrame, occurrence: DataFrame) -> DataFrame:
+def tokens_of_explanation(attribution: DataFrame, occurrence: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Occurrences of the tokens of an explanation.
 
+    ``index`` holds the tokens of the same occurrences where they are had without spans.
+
     A token of the explanation that the index does not know is an error, raised
-    by the task that meets it. The check needs one row per token of the index, so the
-    occurrences themselves are met by the tokens once.
+    by the task that meets it. The check needs one row per token of the index. The checked
+    tokens are written, so that the planner knows how few they are and sends them to
+    the occurrences instead of moving all occurrences by token.
     """
     wanted = attribution.select("token").distinct()
-    known = occurrence.groupBy("token").agg(F.lit(True).alias("_known"))
+    known = (occurrence if index is None else index).groupBy("token").agg(F.lit(True).alias("_known"))
     failing = F.raise_error(F.concat(F.lit("no token info for "), F.col("token"))).cast("string")
     checked = wanted.join(known, "token", "left").select(F.when(F.col("_known"), F.col("token")).otherwise(failing).alias("token"))
-    return occurrence.join(checked, "token", "left_semi")
+    return occurrence.join(stored(checked, "explained"), "token", "left_semi")
 
 
 # --- artifact store -------------------------------------------------------------

@@ -68,9 +68,10 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.without_stop_words(rows, stop_words(spark))
 
 
-def token_weights(spark: SparkSession, sf_dir: str, how: str = "norm") -> DataFrame:
+def token_weights(spark: SparkSession, sf_dir: str, how: str = "norm", kept: DataFrame | None = None) -> DataFrame:
+    """Weights of the content tokens, or of the ``kept`` ones, which are content tokens already: only those are averaged."""
     vectors = embed.encode_hashed(texts(spark, sf_dir), spans=False)
-    content = tk.without_stop_words(vectors, stop_words(spark))
+    content = tk.without_stop_words(vectors, stop_words(spark)) if kept is None else vectors.join(kept, "token", "left_semi")
     return embed.token_weights(content, how, embed.DIMENSIONS)
 
 

@@ -37,7 +37,7 @@ def setting(spark, sf_dir) -> Setting:
     """Kept tokens, their cells, the split and the scaled cells, each written once."""
     kept = stats.iqr_filter(content_frequency(spark, sf_dir), stats.LOWEST_FREQUENCY)
     tokens = stored(kept.select("token"), "kept")
-    cells = stored(token_weights(spark, sf_dir).join(tokens, "token", "left_semi"), "cells")
+    cells = stored(token_weights(spark, sf_dir, kept=tokens), "cells")
     split = stored(sample.train_test(texts(spark, sf_dir).select("text_id", "label", "ord")), "split")
     scaler = stored(classify.fit_minmax(cells, split.where("part = 'train'"), tokens), "scaler")
     values = stored(classify.apply_minmax(cells, scaler, split), "values")
@@ -380,7 +380,8 @@ def q_sankey_fixed(spark, sf_dir):
 def jn_token_explanation(spark, sf_dir):
     _, model, predictions, phi = explained(spark, sf_dir)
     scores = explain.class_attribution(phi, predictions, model)
-    return cat.tokens_of_explanation(scores, spans(spark, sf_dir)).select("text_id", "label", "pos", "token", "start", "end")
+    found = cat.tokens_of_explanation(scores, spans(spark, sf_dir), content_frequency(spark, sf_dir))
+    return found.select("text_id", "label", "pos", "token", "start", "end")
 
 
 def explained_rows(s: Setting, model: classify.LinearModel, predictions: DataFrame, phi: DataFrame) -> DataFrame:

@@ -238,3 +238,20 @@ def test_only_kept_tokens_are_weighed(spark, tmp_path):
     assert own.orderBy(*order).collect() == whole.join(kept, "token", "left_semi").select(*whole.columns).orderBy(*order).collect()
     shown = plan(own)  # the join stands below the means
     assert shown.index("LeftSemi") > shown.index("HashAggregate")
+
+
+def test_tokens_of_an_explanation_are_counted_once(spark, monkeypatch, tmp_path):
+    from wordprism.queries import explain as queries
+
+    counts, real = [], queries.content_frequency
+
+    def spied(*args):
+        counts.append(1)
+        return real(*args)
+
+    monkeypatch.setattr(queries, "content_frequency", spied)
+    many = [(i, " ".join(f"w{'abcdefgh'[k]} " * (k + 1 + i % 2) for k in range(8)), ("fr", "en")[i % 2]) for i in range(16)]
+    spark.createDataFrame(many, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.jn_token_explanation(spark, str(tmp_path))
+    tokens_of = {r["token"] for r in found.collect()}
+    assert len(counts) == 1 and "wd" in tokens_of and "wh" not in tokens_of  # the most frequent token is no kept one

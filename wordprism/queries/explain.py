@@ -23,6 +23,7 @@ class Setting(NamedTuple):
     split: DataFrame  # text_id, label, ord, part
     scaler: DataFrame  # token, lo, span
     values: DataFrame  # text_id, token, value
+    frequency: DataFrame | None = None  # token, frequency: all content tokens
 
     @property
     def train(self) -> DataFrame:
@@ -35,13 +36,14 @@ class Setting(NamedTuple):
 
 def setting(spark, sf_dir) -> Setting:
     """Kept tokens, their cells, the split and the scaled cells, each written once."""
-    kept = stats.iqr_filter(content_frequency(spark, sf_dir), stats.LOWEST_FREQUENCY)
+    frequency = stored(content_frequency(spark, sf_dir), "frequency")
+    kept = stats.iqr_filter(frequency, stats.LOWEST_FREQUENCY)
     tokens = stored(kept.select("token"), "kept")
     cells = stored(token_weights(spark, sf_dir, kept=tokens), "cells")
     split = stored(sample.train_test(texts(spark, sf_dir).select("text_id", "label", "ord")), "split")
     scaler = stored(classify.fit_minmax(cells, split.where("part = 'train'"), tokens), "scaler")
     values = stored(classify.apply_minmax(cells, scaler, split), "values")
-    return Setting(tokens, cells, split, scaler, values)
+    return Setting(tokens, cells, split, scaler, values, frequency)
 
 
 def centroid_model(s: Setting) -> classify.LinearModel:
@@ -378,9 +380,9 @@ def q_sankey_fixed(spark, sf_dir):
     'select text_id, label, pos, token, "start", "end" from ctok where token in (select token from attribution)',
 )
 def jn_token_explanation(spark, sf_dir):
-    _, model, predictions, phi = explained(spark, sf_dir)
+    s, model, predictions, phi = explained(spark, sf_dir)
     scores = explain.class_attribution(phi, predictions, model)
-    found = cat.tokens_of_explanation(scores, spans(spark, sf_dir), content_frequency(spark, sf_dir))
+    found = cat.tokens_of_explanation(scores, spans(spark, sf_dir), s.frequency)
     return found.select("text_id", "label", "pos", "token", "start", "end")
 
 

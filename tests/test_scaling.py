@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, svm, tokens, topics, views
-from wordprism.plans import blocks
+from wordprism.plans import blocks, sieve
 
 
 def plan(df) -> str:
@@ -255,3 +255,50 @@ def test_tokens_of_an_explanation_are_counted_once(spark, monkeypatch, tmp_path)
     found = queries.jn_token_explanation(spark, str(tmp_path))
     tokens_of = {r["token"] for r in found.collect()}
     assert len(counts) == 1 and "wd" in tokens_of and "wh" not in tokens_of  # the most frequent token is no kept one
+
+
+def test_vectors_are_measured_within_their_text(spark):
+    data = texts(spark, "a b a. a", "b c", "", None).unionByName(texts(spark, "c a")).withColumn("text_id", F.when(F.col("text") != "b c", F.col("text_id")))
+    for how in ("norm", "mean"):
+        rows = embed.encode_hashed(data, spans=False, measure=how)
+        assert rows.columns == ["text_id", "layer", "token", "total", "n"] and rows.where("token = 'a' and n = 3").count() == 1
+        whole = embed.token_weights(embed.encode_hashed(data, spans=False), how, embed.DIMENSIONS)
+        got = {r[:3]: r["weight"] for r in embed.token_weights(rows, how).collect()}
+        assert got == pytest.approx({r[:3]: r["weight"] for r in whole.collect()}, rel=1e-12) and len(got) == 6
+
+
+def test_sieve_loses_no_row_of_a_key(spark):
+    keys = spark.range(300).select(F.when(F.col("id") > 0, F.concat(F.lit("k"), "id")).alias("token"))
+    rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.concat(F.lit("k"), "id")).alias("token"), "id")
+    left = sieve.sifted(rows, keys, "token")
+    assert "Join" not in plan(left).split("Subquery")[0] and left.where("id < 300").count() == 299 and left.count() < 2_500
+    assert sieve.sifted(rows, keys.limit(0), "token").count() == 0
+
+
+def test_scaled_cells_are_not_moved_by_text(spark):
+    cells = spark.createDataFrame([(f"t{i}" if i else None, w, float(i + 1)) for i in range(6) for w in "ab"], "text_id string, token string, weight double")
+    split = spark.createDataFrame([(f"t{i}" if i else None, "test" if i == 5 else "train") for i in range(6)], "text_id string, part string")
+    train, tokens_of = split.where("part = 'train'"), cells.select("token").distinct()
+    shuffled = classify.fit_minmax(cells, train, tokens_of, others=split.where("part = 'test'"))
+    assert "hashpartitioning(text_id" not in plan(shuffled)
+    scaler = classify.fit_minmax(cells, train, tokens_of)
+    assert sorted(shuffled.collect()) == sorted(scaler.collect())
+    own = classify.apply_minmax(cells, scaler.withColumn("lo", F.when(F.col("token") == "a", 0.5).otherwise(0.0)), split, complete=True)
+    assert plan(own).count("LeftSemi") < plan(classify.apply_minmax(cells, scaler, split)).count("LeftSemi")
+    assert own.where("text_id is not null").count() == 10
+
+
+def test_shuffled_files_go_with_the_table(spark, monkeypatch, tmp_path):
+    import os
+
+    from wordprism.plans.tables import stored
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+
+    def shuffled():
+        return {f for _, _, names in os.walk(folder) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before = shuffled()
+    kept = stored(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert not shuffled() - before and kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -302,3 +302,28 @@ def test_shuffled_files_go_with_the_table(spark, monkeypatch, tmp_path):
     kept = stored(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
     assert not shuffled() - before and kept.count() == 7
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_svm_rounds_go_over_the_near_rows(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    n, width = 240, 6
+    x = np.abs(rng.normal(size=(n, width)))
+    y = (x[:, 0] + 0.3 * rng.normal(size=n) > x[:, 1]).astype(int)
+    ids = [f"t_{i}" if i else None for i in range(n)]  # a row without an id has the constant only
+    data = spark.createDataFrame([(t, "ab"[k]) for t, k in zip(ids, y)], "text_id string, label string")
+    values = spark.createDataFrame([(t, f"k{j}", float(x[i, j])) for i, t in enumerate(ids) for j in range(width)], "text_id string, token string, value double")
+    vocab = spark.createDataFrame([(f"k{j}", j) for j in range(width)], "token string, idx long")
+    met, real = [], svm.stored
+
+    def spied(df, name):
+        kept = real(df, name)
+        if name == "round":
+            met.append(kept.where("kind = 3").count())
+        return kept
+
+    monkeypatch.setattr(svm, "stored", spied)
+    fit = svm.fit_dual(values, data, vocab, block_cells=n * (width + 1) // 2)
+    assert met[0] == met[-1] == n and min(met) < n  # the ends meet all rows, which gives the true gap
+    assert fit.duals.count() == 2 * n
+    assert all(r["primal"] - r["dual"] <= 1e-3 * r["primal"] for r in fit.gaps.collect())
+    assert all(r["within"] and r["bounded"] for r in svm.certificate(values, data.where("text_id is not null"), fit).collect())

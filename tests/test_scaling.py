@@ -270,9 +270,9 @@ def test_vectors_are_measured_within_their_text(spark):
 def test_sieve_loses_no_row_of_a_key(spark):
     keys = spark.range(300).select(F.when(F.col("id") > 0, F.concat(F.lit("k"), "id")).alias("token"))
     rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.concat(F.lit("k"), "id")).alias("token"), "id")
-    left = sieve.sifted(rows, keys, "token")
+    left = sieve.Sieve(keys, "token").sifted(rows)
     assert "Join" not in plan(left).split("Subquery")[0] and left.where("id < 300").count() == 299 and left.count() < 2_500
-    assert sieve.sifted(rows, keys.limit(0), "token").count() == 0
+    assert sieve.Sieve(keys.limit(0), "token").sifted(rows).count() == 0
 
 
 def test_scaled_cells_are_not_moved_by_text(spark):
@@ -327,3 +327,17 @@ def test_svm_rounds_go_over_the_near_rows(spark, monkeypatch):
     assert fit.duals.count() == 2 * n
     assert all(r["primal"] - r["dual"] <= 1e-3 * r["primal"] for r in fit.gaps.collect())
     assert all(r["within"] and r["bounded"] for r in svm.certificate(values, data.where("text_id is not null"), fit).collect())
+
+
+def test_weights_of_single_rows_are_not_moved(spark, tmp_path):
+    from wordprism.queries import base
+
+    docs = [(1, "cat sat cat"), (2, "cat dog"), (2, "dog dog"), (None, "cat"), (None, "cat sat"), (3, None)]
+    spark.createDataFrame([(*d, "en") for d in docs], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = base.token_weights(spark, str(tmp_path))
+    whole = embed.token_weights(tokens.without_stop_words(embed.encode_hashed(base.texts(spark, str(tmp_path)), spans=False), base.stop_words(spark)), "norm", embed.DIMENSIONS)
+    weights = {r[:3]: r["weight"] for r in got.collect()}
+    assert weights == pytest.approx({r[:3]: r["weight"] for r in whole.collect()}, rel=1e-12) and len(weights) == got.count() == 6
+    once, _ = tokens.single_rows(base.texts(spark, str(tmp_path)))
+    rows = embed.token_weights(embed.encode_hashed(once, spans=False, measure="norm"), single=True)
+    assert "HashAggregate" not in plan(rows) and {r["text_id"] for r in rows.collect()} == {"doc_1"}

@@ -341,3 +341,26 @@ def test_weights_of_single_rows_are_not_moved(spark, tmp_path):
     once, _ = tokens.single_rows(base.texts(spark, str(tmp_path)))
     rows = embed.token_weights(embed.encode_hashed(once, spans=False, measure="norm"), single=True)
     assert "HashAggregate" not in plan(rows) and {r["text_id"] for r in rows.collect()} == {"doc_1"}
+
+
+def test_proper_nouns_are_tagged_alone(spark):
+    data = texts(spark, "The acme Paris Ltd and Rome-2 ate", "éclair Élan 3rd x_ing USING using", "", None)
+    lexicon = annotate.lexicon(spark).unionByName(spark.createDataFrame([("acme", "NNP")], "word string, tag string"))
+    rows, names = annotate.words(data), annotate.tag_names(spark)
+    tagged, nouns = annotate.pos_tags(rows, lexicon, names), annotate.proper_nouns(rows, lexicon, names)
+    assert sorted(nouns.collect()) == sorted(tagged.where("tag = 'NNP'").collect())
+    assert {r["word"] for r in nouns.collect()} == {"acme", "Paris", "Ltd", "Rome-2", "Élan", "USING"}
+    known = spark.createDataFrame([("paris ltd", "ORG"), ("acme paris ltd", "FIRM")], "name string, entity string")
+    whole, own = annotate.named_entities(tagged, known), annotate.named_entities(tagged, known, nouns=nouns)
+    assert sorted(map(str, own.collect())) == sorted(map(str, whole.collect())) and own.where("entity = 'FIRM'").count() == 3
+
+
+def test_words_are_tagged_by_the_first_rule(spark):
+    words = "a walking walked early table sensible joyful famous active final glass cars s is 12 . , : ; - ! é Ünder ing Ending élanced x-ing % _s{} zed {".split() + [None]
+    got = spark.createDataFrame([(w,) for w in words], "word string").select("word", annotate.form_tag(F.col("word")).alias("tag"))
+    found = {r["word"]: r["tag"] for r in got.collect()}
+    by_rules = F.lit(annotate.OTHER_TAG)
+    for tag, pattern in reversed(annotate.TAG_RULES):
+        by_rules = F.when(F.col("word").rlike(pattern), tag).otherwise(by_rules)
+    assert found == {r["word"]: r["tag"] for r in got.select("word", by_rules.alias("tag")).collect()}
+    assert (found["Ending"], found["cars"], found["glass"], found["12"]) == ("NNP", "NNS", "NN", "CD")

@@ -1,10 +1,11 @@
 """Plans and sizes that must not grow faster than the tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, svm, tokens, topics, views
+from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, surrogates, svm, tokens, topics, views
 from wordprism.plans import blocks, sieve
 
 
@@ -364,3 +365,24 @@ def test_words_are_tagged_by_the_first_rule(spark):
         by_rules = F.when(F.col("word").rlike(pattern), tag).otherwise(by_rules)
     assert found == {r["word"]: r["tag"] for r in got.select("word", by_rules.alias("tag")).collect()}
     assert (found["Ending"], found["cars"], found["glass"], found["12"]) == ("NNP", "NNS", "NN", "CD")
+
+
+@pytest.mark.parametrize("share", [0.01, 0.4])
+def test_samples_are_kept_by_what_differs(share):
+    rng = np.random.default_rng(3)
+    n, samples, m = 3, 40, 7
+    same = rng.random((n, samples, m)) >= share
+    same[1, :, 2] ^= True  # a feature in which most samples leave the row's bin
+    packed = surrogates._packed(same, np.array(list("abcdefg")))
+    assert (packed["bits"] is None) == (share == 0.01)
+    kept, z = surrogates._Same(n, samples, packed), same.astype(float)
+    w, rv, u = rng.random((n, samples)), rng.normal(size=(n, samples)), rng.normal(size=(n, m))
+    mean = (w[:, :, None] * z).sum(axis=1) / w.sum(axis=1)[:, None]
+    found, sums = kept.centred(w, rv, w.sum(axis=1))
+    assert np.allclose(found, mean) and np.allclose(sums, (rv[:, :, None] * (z - mean[:, None])).sum(axis=1))
+    assert np.allclose(kept.times(u), (z * u[:, None]).sum(axis=2))
+
+
+def test_blocks_of_a_partition_come_whole():
+    rows = [pd.DataFrame({"block": b, "k": range(len(b))}) for b in ([1, 1, 2], [2, 2], [], [2, 5], [7])]
+    assert [(b, len(part)) for b, part in surrogates._by_block(iter(rows))] == [(1, 2), (2, 4), (5, 1), (7, 1)]

@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, surrogates, svm, tokens, topics, views
+from wordprism.operators import annotate, catalog, classify, embed, explain, geometry, layout, surrogates, svm, tokens, topics, views
 from wordprism.plans import blocks, sieve
+from wordprism.plans import tables as plan_tables
 
 
 def plan(df) -> str:
@@ -386,3 +387,24 @@ def test_samples_are_kept_by_what_differs(share):
 def test_blocks_of_a_partition_come_whole():
     rows = [pd.DataFrame({"block": b, "k": range(len(b))}) for b in ([1, 1, 2], [2, 2], [], [2, 5], [7])]
     assert [(b, len(part)) for b, part in surrogates._by_block(iter(rows))] == [(1, 2), (2, 4), (5, 1), (7, 1)]
+
+
+def test_layouts_keep_the_last_positions_only(spark, monkeypatch, tmp_path):
+    import os
+
+    rng = np.random.default_rng(1)
+    points = spark.createDataFrame([(f"p{i}", rng.normal(size=3).tolist()) for i in range(40)], "text_id string, vec array<double>")
+    folders, real = [], layout.stored
+
+    def spied(df, name):
+        kept = real(df, name)
+        if name == "spots":
+            folders.append(os.path.dirname(kept.inputFiles()[0]).removeprefix("file://").removeprefix("file:"))
+        return kept
+
+    monkeypatch.setattr(layout, "stored", spied)
+    rows = layout.tsne(points, epochs=3)
+    points.write.parquet(f"{tmp_path}/rows")
+    assert len(folders) == 4 and [os.path.exists(f) for f in folders] == [False] * 3 + [True] and rows.count() == 40
+    with pytest.raises(ValueError, match="no stored table"):
+        plan_tables.discard(spark.read.parquet(f"{tmp_path}/rows"))
